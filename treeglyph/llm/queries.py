@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licences, media, quality, warc
+from . import bpe, chat, licences, linededup, media, packing, quality, warc
 from .common import table
 
 
@@ -24,11 +24,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan_licences(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_sentences", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join(F.transform("licences", lambda x: x["licence"]), " ").alias("licences"), F.size("licences").cast("long").alias("n_licences"), F.size("unmatched").cast("long").alias("n_unmatched"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotation_digests(table(spark, sf_dir, "conversations"))
 
@@ -57,10 +65,12 @@ from p left join f using (payload_digest)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_lines": op2_lines,
     "op3_licences": op3_licences,
+    "op4_packing": op4_packing,
     "op5_chat": op5_chat,
     "op6_media": op6_media,
     "op7_quality": op7_quality,
     "op10_warc": op10_warc,
 }
-SQL: dict[str, str] = {"op5_chat": chat.ROTATION_SQL, "op10_warc": OP10_SQL}
+SQL: dict[str, str] = {"op2_lines": linededup.LINE_SQL, "op5_chat": chat.ROTATION_SQL, "op10_warc": OP10_SQL}
