@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licences, linededup, media, minhash, packing, quality, warc
+from . import bpe, chat, licences, linededup, media, minhash, packing, quality, suffixes, warc
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_media": op6_media,
     "op7_quality": op7_quality,
     "op8_minhash": op8_minhash,
+    "op9_suffixes": op9_suffixes,
     "op10_warc": op10_warc,
 }
 SQL: dict[str, str] = {"op2_lines": linededup.LINE_SQL, "op5_chat": chat.ROTATION_SQL, "op10_warc": OP10_SQL}
