@@ -34,10 +34,9 @@ def numbered(df: DataFrame, id_col: str, order: list[str], value_col: str) -> Da
 
 
 def gather(rows: DataFrame, longest: int, segment: int = SEGMENT) -> DataFrame:
-    """From long form. Each value goes to its segment, and the first longest - 1 of a segment to the one before as well."""
-    home = F.floor(F.col("pos") / segment)
-    also = F.when((F.col("pos") % segment < longest - 1) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
-    placed = rows.withColumn("seg", F.explode(also))
+    """From long form. Each value goes to its segment, and to those before in which a window of the longest length may reach it."""
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("pos") - (longest - 1)) / segment))
+    placed = rows.withColumn("seg", F.explode(F.sequence(first, F.floor(F.col("pos") / segment))))
     item = F.struct("pos", "value")
     got = placed.groupBy("series_id", "seg", "n").agg(F.array_sort(F.collect_list(item)).alias("items"))
     shift = (F.col("seg") * segment).cast("long")
