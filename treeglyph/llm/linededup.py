@@ -90,7 +90,7 @@ def probe_shards(holders: DataFrame, shards: DataFrame, n_shards: int) -> DataFr
         shard, now = None, None
         for b in batches:
             at, blobs = b.column(0).to_numpy(), b.column(2)
-            doc, h1, h2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5))
+            doc, h1, h2 = (b.column(i).fill_null(0).to_numpy() for i in (3, 4, 5))
             edges = np.r_[0, np.flatnonzero(np.diff(at)) + 1, len(at)]
             for a, z in zip(edges[:-1], edges[1:], strict=True):
                 if not z - a:
@@ -99,7 +99,7 @@ def probe_shards(holders: DataFrame, shards: DataFrame, n_shards: int) -> DataFr
                     shard, now, a = at[a], Shard.from_bytes(blobs[int(a)].as_py()), a + 1
                 if shard != at[min(a, len(at) - 1)] or a == z:
                     continue  # no recurring keys in this shard
-                p1, p2, d = h1[a:z].astype(np.int64), h2[a:z].astype(np.int64), doc[a:z].astype(np.int64)
+                p1, p2, d = h1[a:z], h2[a:z], doc[a:z]
                 n, last = now.find(p1, p2)
                 out = (n > 0) & (last != d)
                 if out.any():
