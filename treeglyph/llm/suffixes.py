@@ -37,6 +37,7 @@ REST = WIDTH - K
 HALF = REST // 2
 CHUNK, BLOCK, WIDE = 4 << 20, 20_000, 1_000_000
 _LOW = np.uint64(0xFFFFFF)
+_SET = np.uint64(1 << 32)  # in the half of a hash that is kept: 0 stands for none
 _ODD = mix(np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -99,8 +100,8 @@ def sample(chunk: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
     end = start + n_windows + WIDTH - 1
     view = memoryview(buf)
     hull = np.fromiter((xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
-    r = np.where(place + K + HALF <= end, _hash_at(words, place, K + HALF) | np.uint64(1), np.uint64(0))
-    left = np.where(place - HALF >= start, _hash_at(words, np.maximum(place - HALF, 0), K + HALF) | np.uint64(1), np.uint64(0))
+    r = np.where(place + K + HALF <= end, _hash_at(words, place, K + HALF) | _SET, np.uint64(0))
+    left = np.where(place - HALF >= start, _hash_at(words, np.maximum(place - HALF, 0), K + HALF) | _SET, np.uint64(0))
     doc = np.array([d for d, _, _ in chunk], np.int64)[piece]
     shift = np.array([s for _, s, _ in chunk], np.int64)[piece] - first[piece]
     return {"key": h[place].view(np.int64), "hull": hull.view(np.int64), "r": r, "l": left, "doc": doc, "start": start + shift, "n": n_windows, "rel": place - start}
