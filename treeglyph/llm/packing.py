@@ -16,9 +16,11 @@ table gives no pieces.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,16 +36,29 @@ from .common import shared_table, utf8_values
 CAPACITY, END_ID = 2048, 1
 
 
+#: A word that the tokenizer splits into its letters and its marks, and nothing else. Lower-casing it is the same in all libraries.
+_MARKS = b".,!?;:#*$%&|<>"
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:#*$%&|<>]*)")
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space: each word's ids, as little-endian bytes, are kept for when it comes again."""
+    """Ids of texts by a tokenizer that drops white space, lower-cases, and marks the ends of its pieces.
+
+    Each word's ids, as little-endian bytes, are kept for when it comes again. New words of letters and marks are put together from
+    those of the two parts; new parts are encoded many at a time and told apart by their end marks. Other words are encoded by themselves.
+    """
 
-    def __init__(self, tokenizer_file: str, most: int = 400_000):
+    def __init__(self, tokenizer_file: str, most: int = 800_000, end_mark: str = "</w>"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its core
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
         self._tokenizer.encode_special_tokens = True
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for t, i in vocabulary.items() if t.endswith(end_mark)]] = True
         self._known: dict[bytes, bytes] = {}
+        self._parts: dict[bytes, bytes] = {b"": b""}
         self._most = most
 
     def learn(self, texts: list[bytes]) -> list[list[bytes]]:
@@ -51,17 +66,52 @@ class WordIds:
         split = [t.split() for t in texts]
         if len(self._known) > self._most:
             self._known.clear()
+        if len(self._parts) > self._most:
+            self._parts = {b"": b""}
         new = list(set(itertools.chain.from_iterable(split)).difference(self._known))
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for word, e in zip(some, self._tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self._known[word] = np.array(e.ids, "<u4").tobytes()
+        if not new:
+            return split
+        plain, other = [], []
+        for raw in new:
+            letters = raw.rstrip(_MARKS)
+            if letters.isalpha():  # ASCII
+                plain.append((raw, letters.lower(), raw[len(letters) :]))
+            elif m := _PLAIN.fullmatch(raw.decode()):
+                plain.append((raw, m[1].lower().encode(), m[2].encode()))
+            else:
+                other.append(raw)
+        self._learn_parts([p for p in {p for _, a, b in plain for p in (a, b)} if p not in self._parts])
+        parts = self._parts
+        self._known.update((raw, parts[a] + parts[b]) for raw, a, b in plain)
+        self._known.update((raw, np.array(ids, "<u4").tobytes()) for raw, ids in zip(other, self._encode([w.decode() for w in other]), strict=True))
         return split
 
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[bytes], many: int = 500) -> None:
+        groups = [parts[i : i + many] for i in range(0, len(parts), many)]
+        for group, ids in zip(groups, self._encode([b" ".join(g).decode() for g in groups]), strict=True):
+            x = np.array(ids, "<u4")
+            ends = (np.flatnonzero(self._ends[x]) + 1) * 4
+            if len(ends) != len(group):  # a vocabulary without such marks
+                self._parts.update((p, np.array(i, "<u4").tobytes()) for p, i in zip(group, self._encode([p.decode() for p in group]), strict=True))
+                continue
+            raw, at = x.tobytes(), 0
+            for p, end in zip(group, ends.tolist(), strict=True):
+                self._parts[p] = raw[at:end]
+                at = end
+
     def encode(self, words: list[bytes]) -> bytes:
         return b"".join(map(self._known.__getitem__, words))
 
 
+@functools.cache
+def word_ids(tokenizer_file: str) -> WordIds:
+    """One for each Python worker, which keeps what it knows from task to task."""
+    return WordIds(tokenizer_file)
+
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, pid long, nth long"
 
 
@@ -70,7 +120,7 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, e
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, seen, ids_of = TaskContext.get().partitionId(), [0] * (capacity + 1), WordIds(tokenizer_file)
+        pid, seen, ids_of = TaskContext.get().partitionId(), [0] * (capacity + 1), word_ids(tokenizer_file)
         names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
         for b in batches:
             ids, texts = b.column(0).to_pylist(), utf8_values(b.column(1))
