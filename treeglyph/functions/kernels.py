@@ -156,12 +156,10 @@ def window_counts(series: DataFrame, spec: CountSpec) -> DataFrame:
     return series.select("series_id", "x", "shift", "n", "own").mapInArrow(run, f"series_id {kind}, length int, code string, bin int, cnt double")
 
 
-def linear_limits(x: Column) -> Column:
-    return _limits(x)
-
-
 @F.pandas_udf(INTS)
-def _limits(x: pd.Series) -> pd.Series:
+def linear_limits_udf(x: pd.Series) -> pd.Series:
+    """How many values from each place on are distinct."""
+
     def one(row: np.ndarray | None) -> list[int] | None:
         if row is None:
             return None
@@ -174,3 +172,7 @@ def _limits(x: pd.Series) -> pd.Series:
         return out
 
     return x.map(one)
+
+
+def linear_limits(x: Column) -> Column:
+    return linear_limits_udf(x)

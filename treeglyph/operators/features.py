@@ -9,13 +9,15 @@ from ..functions.codes import code_array, is_monotone
 
 
 def matrix(series: DataFrame, dictionary: DataFrame, counts: DataFrame) -> DataFrame:
-    """series_id, rank, cnt (double, 0 where a series has none; and label, if series have one). The dictionary's size is bounded by its budget or cap: it goes to the series."""
+    """series_id, rank, cnt (double, 0 where a series has none; and label, if series have one). Ranks count from 1."""
     names = dictionary.select("code", "rank")
     have = counts.join(names, "code").select("series_id", "rank", "cnt")
     ids = series.select(*(c for c in series.columns if c in ("series_id", "label")))
-    cells = ids.withColumn("rank", F.lit(None).cast("int")).limit(0)
-    ranks = [r["rank"] for r in dictionary.select("rank").collect()]
-    cells = ids.withColumn("rank", F.explode(F.array(*(F.lit(int(r)) for r in sorted(ranks))))) if ranks else cells
+    size = names.agg(F.coalesce(F.max("rank"), F.lit(0)).alias("top"), F.count("*").alias("k")).first()
+    ranks = F.sequence(F.lit(1), F.lit(int(size["top"]))) if size["top"] else F.array().cast("array<int>")
+    cells = ids.withColumn("rank", F.explode(ranks))
+    if size["k"] != size["top"]:  # some ranks aren't in the dictionary
+        cells = cells.join(names.select("rank"), "rank", "left_semi")
     return cells.join(have, ["series_id", "rank"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0.0)))
 
 

@@ -124,6 +124,11 @@ def excerpt(series: DataFrame, count: int, points: int) -> DataFrame:
     return out.withColumn("n", n).withColumn("own", n)
 
 
+def subset(series: DataFrame, count: int, seed: int = 0) -> DataFrame:
+    """A seeded sample of so many series, without replacement, by the order of hashes."""
+    return series.orderBy(F.xxhash64("series_id", F.lit(seed)), "series_id").limit(count)
+
+
 #: The driver tables as series: table, id, order, value.
 VIEWS: dict[str, tuple[str, str, list[str], str]] = {
     "events": ("events", "user_id", ["ts", "event_id"], "value"),
