@@ -17,9 +17,13 @@ from treeglyph.llm.queries import vocabulary  # noqa: E402
 WORDS = vocabulary("word_bpe_49k.json")
 
 
+MORE = {"spans": "string", "drops": "int", "n_chars": "long", "id": "string"}
+NAMES = ["doc_id", "text", *MORE]
+
+
 def docs_of(spark, rows):
     """With columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, "a", 0, i) for i, t in rows], "doc_id long, text string, id string, start int, n_chars long")
+    return spark.createDataFrame([(i, t, "a", 0, i, None) for i, t in rows], f"doc_id long, text string, {', '.join(f'{c} {k}' for c, k in MORE.items())}")
 
 
 # --- perfect hash
@@ -70,7 +74,7 @@ def test_line_dedup(spark, monkeypatch, hot):
     got = linededup.line_dedup_digests(docs_of(spark, rows)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_lines(rows)
     kept = linededup.line_dedup(docs_of(spark, rows))
-    assert kept.columns == ["doc_id", "text", "id", "start", "n_chars"] and kept.count() == len(rows)
+    assert kept.columns == NAMES and kept.count() == len(rows)
     for r in kept.collect():
         old = {t for i, t in rows if i == r["doc_id"]}
         assert r["text"] in old or r["n_chars"] == len(r["text"])
@@ -174,7 +178,7 @@ def test_near_duplicates(spark, words, large):
 def test_keep_first_and_odd_tables(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (3, None), (3, "x y")]
     kept = minhash.keep_first(docs_of(spark, rows))
-    assert kept.columns == ["doc_id", "text", "id", "start", "n_chars"]
+    assert kept.columns == NAMES
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == sorted([("1", "a b c d e f g"), ("None", "a b c d e f g"), ("3", "None"), ("3", "x y")])
     assert minhash.near_duplicates(docs_of(spark, []).limit(0)).count() == 0
 
@@ -256,7 +260,7 @@ def test_suffix_dedup(spark, monkeypatch, wide, block):
 def test_suffix_dedup_texts(spark):
     rows = suffix_rows()
     out = suffixes.suffix_dedup(docs_of(spark, rows))
-    assert out.columns == ["doc_id", "text", "id", "start", "n_chars"] and out.count() == len(rows)
+    assert out.columns == NAMES and out.count() == len(rows)
     d = {r["doc_id"]: r for r in out.collect()}
     assert d[109]["text"] == "" and d[109]["n_chars"] == 0 and d[100]["text"] is None and d[102]["text"] == "q" * 99
     assert suffixes.suffix_dedup_digests(docs_of(spark, []).limit(0)).count() == 0

@@ -156,7 +156,7 @@ def thinned(text: bytes, doc: int | None, drops: set[bytes], hot: Shard, min_cha
 def _thin(docs: DataFrame, columns: list[str], schema: str, emit: Callable, min_chars: int, min_docs: int) -> DataFrame:
     drops, hot = drops_of(docs, min_chars, min_docs)
     key = F.col("doc_id").cast("long")
-    joined = docs.select(*columns).withColumn("__key", key).join(drops.withColumnRenamed("doc_id", "__key").hint("merge"), "__key", "left").select("__key", "drops", *columns)
+    joined = docs.select(*columns).withColumn("__key", key).join(drops.toDF("__key", "__drops").hint("merge"), "__key", "left").select("__key", "__drops", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

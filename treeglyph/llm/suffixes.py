@@ -35,7 +35,7 @@ from .minhash import mix
 WIDTH, K = 100, 32
 REST = WIDTH - K
 HALF = REST // 2
-CHUNK, BLOCK, WIDE = 4 << 20, 20_000, 1_000_000
+CHUNK, BLOCK, WIDE = 4 << 20, 20_000, 200_000
 _LOW = np.uint64(0xFFFFFF)
 _SET = np.uint64(1 << 32)  # in the half of a hash that is kept: 0 stands for none
 _ODD = mix(np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -357,7 +357,7 @@ def lost(size: int, spans: np.ndarray) -> np.ndarray:
 
 def _joined(docs: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
     keyed = docs.select(*columns).withColumn("__key", F.col("doc_id").cast("long"))
-    return keyed.join(found.select(F.col("doc").alias("__key"), "spans").hint("merge"), "__key", "left").select("spans", *columns)
+    return keyed.join(found.toDF("__key", "__spans").hint("merge"), "__key", "left").select("__spans", *columns)
 
 
 def _each(b: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray | None]]:
