@@ -9,8 +9,8 @@ Banding: BANDS bands of ROWS coordinates; a pair of similarity s shares no bucke
 
 Documents with equal sets are one class from the start, represented by the smallest doc_id. In each bucket, pairs are verified on full sets, but only
 as long as they can change the result: first every member against one member of its bucket, in a few rounds with other centres and only where
-members are still in different components, then the members outside their bucket's largest component against those of other components. From the second round on
-pairs are ruled out by the number of shingles that a set shares with any other one at all. Every pair that shares a bucket
+members are still in different components, then the members outside their bucket's largest component: against its members, in blocks that are held as
+inverted indexes, where it is large, else pair by pair. From the second round on pairs that share no rare shingle are ruled out by the number of other shingles. Every pair that shares a bucket
 is thus verified, already connected, or proven to have no link; nothing is capped.
 
 A null text, or one without words, has an empty set and is linked with nothing. Rows with the same doc_id are one node, with the links of all of them. Rows
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import free_shuffles, shared_table, utf8_values
 from .components import components
 
-ROWS, BANDS, ROUNDS, RARE = 6, 48, 2, 16
+ROWS, BANDS, ROUNDS, RARE, LARGE, BLOCK = 6, 48, 2, 16, 64, 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -132,39 +132,62 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, items binary")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= percent * union, on full sets."""
+def _blocks(members: DataFrame) -> DataFrame:
+    """id and block: members of one large bucket are in one block, or in several of BLOCK members or so."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("k"))
+    home = members.join(sizes, "bucket").groupBy("id").agg(F.max(F.struct("k", "bucket")).alias("h"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("h.k") / BLOCK))
+    return home.select("id", F.xxhash64("h.bucket", part).alias("block"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those with 100 * intersection >= percent * union, on full sets. Pairs meet by blocks: a set is sent once to each pair
+    of blocks in which it has pairs, not once for each pair."""
+    of = lambda side: blocks.select(F.col("id").alias(side), F.col("block").alias(f"{side}_block"))
+    placed = pairs.join(of("a"), "a").join(of("b"), "b")
+    placed = placed.select("a", "b", F.xxhash64(F.least("a_block", "b_block"), F.greatest("a_block", "b_block")).alias("key"))
+    needed = placed.select("key", F.col("a").alias("id")).unionByName(placed.select("key", F.col("b").alias("id"))).distinct()
+    nothing = F.lit(None).cast("binary").alias("items")
+    rows = needed.join(sets.hint("merge"), "id").select("key", F.lit(0).alias("side"), F.col("id").alias("a"), F.col("id").alias("b"), "items")
+    rows = rows.unionByName(placed.select("key", F.lit(1).alias("side"), "a", "b", nothing))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+        now, held = None, {}
+        for batch in batches:
+            found = []
+            for key, side, a, b, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    now, held = key, {}
+                if side == 0:
+                    held[a] = np.frombuffer(items, np.uint64)
+                    continue
+                both = np.concatenate([held[a], held[b]])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                if 100 * common >= percent * (len(both) - common):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    of = lambda side: sets.select(F.col("id").alias(side), F.col("items").alias(f"items_{side}"))
-    return pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key", "side").mapInArrow(run, "a long, b long")
 
 
 def _rare(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Shingles that at most RARE of the members have are rare. Pairs that share one are few, and given as they are: (a, b). A pair that shares none can't
-    share more than the lesser number of other shingles, m, so heavily edited copies are ruled out without reading their sets.
-    Members whose m is too small for any link go."""
-    ids = members.select("id", "n").distinct()
+    """Shingles that at most RARE of the members have are rare. A pair can't share more than the rare ones that it does share and the lesser number of others, m. Pairs
+    that share rare ones are few: those for which that is enough for a link are given, (a, b). For the others m alone rules out heavily edited
+    copies without reading their sets, and members whose m is too small for any link go."""
+    ids = members.select("id", "n", "comp").distinct()
     each = sets.join(ids.select("id"), "id", "left_semi").mapInArrow(_unpack, "id long, item long")
     rare = each.groupBy("item").agg(F.count("*").alias("k")).where(F.col("k") <= RARE)
     held = shared_table(each.join(rare, "item").select("id", "item", "k"), "rare")
     own = held.groupBy("id").agg(F.count("*").alias("own"))
-    out = members.drop("m").join(own, "id", "left").select("bucket", "id", "n", "comp", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"))
-    comp = members.select("id", "n", "comp").distinct()
-    both = held.where("k > 1").select("id", "item").join(comp, "id")
-    other = both.select("item", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    lesser, larger = F.least("n", "nb"), F.greatest("n", "nb")
-    pairs = both.join(other, "item").where((F.col("id") < F.col("b")) & (F.col("comp") != F.col("cb")) & (100 * lesser >= percent * larger))
-    return out.where(100 * F.col("m") >= percent * F.col("n")), pairs.select(F.col("id").alias("a"), "b").distinct()
+    rest = ids.join(own, "id", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    both = held.where("k > 1").select("id", "item").join(rest, "id")
+    other = both.select("item", *(F.col(c).alias(f"c_{c}") for c in ("id", "n", "comp", "m")))
+    pairs = both.join(other, "item").where((F.col("id") < F.col("c_id")) & (F.col("comp") != F.col("c_comp")))
+    pairs = pairs.groupBy(F.col("id").alias("a"), F.col("c_id").alias("b"), "n", "c_n", "m", "c_m").agg(F.count("*").alias("k"))
+    common = F.least(F.col("m") + F.col("k"), F.col("c_m") + F.col("k"))
+    out = members.drop("m").join(rest.select("id", "m"), "id").select("bucket", "id", "n", "comp", "m")
+    return out.where(100 * F.col("m") >= percent * F.col("n")), pairs.where(100 * common >= percent * (F.col("n") + F.col("c_n") - common)).select("a", "b")
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +197,69 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(items) if items else ids, pa.int64())], names=["id", "item"])
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, rounds: int = ROUNDS) -> DataFrame:
+def _against(probes: DataFrame, targets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of probes (id, comp: another component) with members (id, comp) of that component, at least one for each probe that has any. Members are dealt
+    to blocks of BLOCK sets at most or so, and each probe goes to all blocks of its component; a block is held as one inverted index."""
+    size = targets.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    of = sets.select("id", "items")
+    y = targets.join(size, "comp").select("comp", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(0).alias("side"), "id").join(of, "id")
+    x = probes.join(of, "id").join(size, "comp").select("id", "comp", "items", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    both = y.unionByName(x.withColumn("side", F.lit(1))).select("comp", "block", "side", "id", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = None, [], None
+        for b in batches:
+            a_out, b_out = [], []
+            for comp, block, side, id_, items in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (comp, block) != now:
+                    now, held, index = (comp, block), [], None
+                s = np.frombuffer(items, np.uint64)
+                if side == 0:
+                    held.append((id_, s))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    owner = np.repeat(np.arange(len(held)), [len(x) for _, x in held])
+                    flat = np.concatenate([x for _, x in held])
+                    order = np.argsort(flat, kind="stable")
+                    index = flat[order], owner[order], np.array([len(x) for _, x in held])
+                flat, owner, sizes = index
+                lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+                n = hi - lo
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+                common = np.bincount(owner[at], minlength=len(held))
+                linked = np.flatnonzero(100 * common >= percent * (sizes + len(s) - common))
+                if len(linked):
+                    other = held[linked[0]][0]
+                    a_out.append(min(id_, other))
+                    b_out.append(max(id_, other))
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+    return both.repartition("comp", "block").sortWithinPartitions("comp", "block", "side").mapInArrow(run, "a long, b long")
+
+
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (id, comp) with the components that new links put together."""
+    if labels is None:
+        return shared_table(components(links), "labels")
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))
+    upper = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    new = components(upper)
+    up = new.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+    old = labels.join(up, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
+    return shared_table(old.unionByName(new.join(labels.select("id"), "id", "left_anti")), "labels")
+
+
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members with their components so far, of buckets that hold more than one."""
+    if labels is not None:
+        members = members.drop("comp").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("bucket", "id", "n", "m", "comp")
+    open_ = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    return shared_table(members.join(open_, "bucket", "left_semi"), "members")
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, rounds: int = ROUNDS, large: int = LARGE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -183,61 +268,56 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
     first = shared_table(held.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "set-first")
     # members of buckets with two different sets or more
     each = bucket_rows(named, words, rows, bands).repartition("bucket").dropDuplicates(["bucket", "s1", "s2"])
-    shared = each.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).where("m > 1")
-    members = shared_table(shared.join(first, ["s1", "s2"]).select("bucket", "id", "n"), "members")
+    shared = each.withColumn("k", F.count("*").over(Window.partitionBy("bucket"))).where("k > 1")
+    members = shared_table(shared.join(first, ["s1", "s2"]).select("bucket", "id", "n", F.col("n").alias("m"), F.col("id").alias("comp")), "members")
     free_shuffles(spark)
     sets = shared_table(_sets(named.join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), words), "shingles")
     free_shuffles(spark)
 
-    now = members.withColumn("comp", F.col("id")).withColumn("m", F.col("n"))
-    labels, tested = None, None
-    for k in range(rounds + 1):
-        if k != 1 and now.isEmpty():
-            break
-        if k < rounds:
-            order = F.struct((F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))).alias("o"), "id", "comp", "n", "m")
-            centre = now.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("id", "comp", "n", "m")))
-        else:  # of two members in different components, one at least isn't in the bucket's largest
-            largest = now.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("comp", "k").alias("largest"))
-            centre = now.join(largest, "bucket").where("comp <> largest").select("bucket", *(F.col(x).alias(f"c_{x}") for x in ("id", "comp", "n", "m")))
-        common = F.least("m", "c_m")
-        possible = (F.col("comp") != F.col("c_comp")) & (100 * common >= percent * (F.col("n") + F.col("c_n") - common))
-        pairs = now.join(centre, "bucket").where(possible).withColumn("a", F.col("c_id"))
-        pairs = pairs.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
+    blocks = shared_table(_blocks(members), "blocks")
+    common = F.least("m", "c_m")
+    possible = (F.col("comp") != F.col("c_comp")) & (100 * common >= percent * (F.col("n") + F.col("c_n") - common))
+    as_other = lambda df: df.select("bucket", *(F.col(x).alias(f"c_{x}") for x in ("id", "comp", "n", "m")))
+    pair = (F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b"))
+    labels, tested, now = None, None, members
+    for k in range(rounds):
+        order = F.struct((F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))).alias("o"), "id", "comp", "n", "m")
+        centre = now.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("id", "comp", "n", "m")))
+        # of a member's centres in a component, the one that it shares most buckets with
+        per = now.join(centre, "bucket").where(possible).withColumn("g", F.col("c_comp") if k else F.lit(0)).groupBy("id", "g", "c_id").agg(F.count("*").alias("k"))
+        per = per.groupBy("id", "g").agg(F.max_by("c_id", F.struct("k", -F.col("c_id"))).alias("c_id"))
+        pairs = per.select(*pair).distinct()
         if k == 1:
             pairs = pairs.unionByName(sharing).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = shared_table(pairs, "pairs")
-        found = shared_table(_linked(pairs, sets, percent), "links")
+        pairs = shared_table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = shared_table(_linked(pairs, sets, blocks, percent), "links")
         free_shuffles(spark)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not found.isEmpty():
-            # links between components so far, then the components of those
-            of = lambda side: labels.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))  # noqa: E731, B023
-            upper = found if labels is None else found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            new = components(upper)
-            if labels is None:
-                labels = new
-            else:
-                up = new.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
-                old = labels.join(up, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
-                labels = old.unionByName(new.join(labels.select("id"), "id", "left_anti"))
-            labels = shared_table(labels, "labels")
-        if k < rounds:
-            if labels is not None:
-                now = now.drop("comp").join(labels, "id", "left").select("bucket", "id", "n", "m", F.coalesce("comp", "id").alias("comp"))
-            open_ = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-            now = shared_table(now.join(open_, "bucket", "left_semi"), "members")
-            if k == 0:
-                now, sharing = _rare(now, sets, percent)
-                now = shared_table(now, "members")
-            free_shuffles(spark)
-    out = held.join(first, ["s1", "s2"], "left")
-    if labels is not None:
-        out = out.join(labels, "id", "left")
+            labels = _relabelled(labels, found)
+        now = _open(now, labels)
+        if now.isEmpty():
+            break
+        if k == 0:
+            sets = shared_table(sets.join(now.select("id").distinct().hint("merge"), "id", "left_semi"), "shingles")
+            now, sharing = _rare(now, sets, percent)
+            now = shared_table(now, "members")
+        free_shuffles(spark)
     else:
-        out = out.withColumn("comp", F.lit(None).cast("long"))
+        # of two members in different components, one at least isn't in its bucket's largest
+        sizes = labels.groupBy("comp").agg(F.count("*").alias("size")) if labels is not None else now.select("comp", F.lit(1).alias("size")).limit(0)
+        largest = now.select("bucket", "comp").distinct().join(sizes, "comp", "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("size", F.lit(1)).alias("size"), "comp")).alias("t"))
+        now = shared_table(now.join(largest.select("bucket", F.col("t.comp").alias("top"), F.col("t.size").alias("size")), "bucket"), "members")
+        small = now.where((F.col("comp") != F.col("top")) | (F.col("size") < large)).select("bucket", "id", "n", "m", "comp")
+        pairs = small.join(as_other(small), "bucket").where(possible & (F.col("id") < F.col("c_id"))).select(*pair).distinct()
+        found = _linked(pairs.join(tested, ["a", "b"], "left_anti"), sets, blocks, percent)
+        probes = now.where((F.col("comp") != F.col("top")) & (F.col("size") >= large)).select("id", F.col("top").alias("comp")).distinct()
+        targets = now.select("id", "comp").distinct().join(probes.select("comp").distinct(), "comp", "left_semi")
+        found = shared_table(found.unionByName(_against(probes, targets, sets, percent)), "links")
+        if not found.isEmpty():
+            labels = _relabelled(labels, found)
+    out = held.join(first, ["s1", "s2"], "left")
+    out = out.join(labels, "id", "left") if labels is not None else out.withColumn("comp", F.lit(None).cast("long"))
     comp = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("comp", "id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
