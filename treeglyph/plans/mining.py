@@ -10,6 +10,7 @@ import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from .tables import cut
 
 CAP, MAX_CELLS = 2_000_000, 100_000_000
 SLACK = 1 - 1e-12
+KEEP = StorageLevel.MEMORY_AND_DISK
 
 
 @dataclass
@@ -59,33 +61,34 @@ def wanted_lengths(series: DataFrame, budget: int, lengths: Iterable[int] | None
     return list(range(2, min(longest, budget + 1) + 1 if budget else longest + 1))
 
 
-def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[int] | None = None, cap: int = CAP, ties: str = "strict") -> Mined:
-    """By rounds of lengths. ``series`` are whole, or segments made for the longest length in question."""
+def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[int] | None = None, cap: int = CAP, ties: str = "strict", keep: bool = True) -> Mined:
+    """By rounds of lengths. ``series`` are whole, or segments made for the longest length in question; with ``keep`` they, and each round's support, stay in
+    memory or on executors' disks between rounds, and are made anew where an executor is lost. The last round isn't cut short, so its test is left out."""
     if budget < 0 or not math.isfinite(minsup) or minsup <= 0 or cap < 1:
         raise ValueError("invalid budget, minsup or cap")
+    series = series.persist(KEEP) if keep else series
     todo = wanted_lengths(series, budget, lengths)
-    chosen = stages = found = None
-    reason = "all lengths"
+    able = stages = found = None
+    reason, top = "all lengths", []
     for own in rounds(todo):
         counts = C.series_counts(series, own, ties)
-        support = cut(C.corpus_support(counts, minsup))
-        able = C.eligible(support)
-        here = S.best(able, budget) if budget else S.capped(able, cap, "patterns")
-        chosen = here if chosen is None else S.best(chosen.unionByName(here), budget) if budget else chosen.unionByName(here)
+        support = C.corpus_support(counts, minsup).persist(KEEP)
+        last = support.where(F.col("length") == own[-1]).agg(F.max("support"), F.count_if(F.col("qualifying") > 0)).first()
+        here = C.eligible(support)
+        able = here if able is None else able.unionByName(here)
         stages = C.stage_stats(support) if stages is None else stages.unionByName(C.stage_stats(support))
         found = counts if found is None else found.unionByName(counts)
-        at = support.where(F.col("length") == own[-1]).agg(F.max("support"), F.count_if(F.col("qualifying") > 0)).first()
-        if not at[1]:
+        if not last[1]:
             reason = "no pattern of the last length qualifies"
             break
-        if budget:
-            chosen = cut(chosen)
-            top = chosen.agg(F.count("*"), F.min("support")).first()
-            if top[0] >= budget and at[0] < top[1] * SLACK:
+        if budget and own != todo[-len(own) :]:
+            top = able.orderBy(F.desc("support")).limit(budget).agg(F.count("*"), F.min("support")).first()
+            if top[0] >= budget and last[0] < top[1] * SLACK:
                 reason = "no longer pattern can enter"
                 break
-    if chosen is None:
+    if able is None:
         raise ValueError("no length fits any series")
+    chosen = S.best(able, budget) if budget else S.capped(able, cap, "patterns")
     names = S.ranked(chosen).select("rank", "code", "length", "support", F.col("qualifying").alias("qualifying_series"))
     return Mined(names, stages, reason, found)
 
