@@ -166,6 +166,16 @@ def test_quality_held_out(spark):
     assert quality.quality_verdicts(docs.limit(0), labels).count() == 0
 
 
+def test_a_stratum_with_other_habits_keeps_its_documents(spark):
+    r = random.Random(7)
+    rows = [(i, " ".join("".join(r.choices("abcdefghij", k=5)) + ("$$$" if i % 4 == 0 else "") for _ in range(40)), "fr" if i % 4 == 0 else "en") for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1600)], "doc_id long, quality int, toxic int")
+    cutoffs = quality.fit(quality.with_counts(docs), labels)
+    assert cutoffs["fr"] == {} and "symbols_per_word" in cutoffs["en"] and cutoffs["de"] == cutoffs["*"]
+    assert quality.quality_verdicts(docs, labels).where("not kept").count() == 0
+
+
 # --- licences
 
 
