@@ -26,15 +26,16 @@ def whole(df: DataFrame, id_col: str = "series_id", x_col: str = "x", label_col:
 
 def numbered(df: DataFrame, id_col: str, order: list[str], value_col: str) -> DataFrame:
     """series_id, pos (from 0), value, n: long form."""
-    by = Window.partitionBy(id_col)
-    value = F.col(value_col).cast("double")
-    return df.select(
-        F.col(id_col).alias("series_id"), (F.row_number().over(by.orderBy(*order)) - 1).cast("long").alias("pos"), F.when(value == 0, F.lit(0.0)).otherwise(value).alias("value"), F.count("*").over(by).alias("n")
-    )
+    keys = [f"order_{i}" for i in range(len(order))]
+    rows = df.select(F.col(id_col).alias("series_id"), *(F.col(c).alias(k) for c, k in zip(order, keys, strict=True)), F.col(value_col).cast("double").alias("value"))
+    by = Window.partitionBy("series_id")
+    value = F.when(F.col("value") == 0, F.lit(0.0)).otherwise(F.col("value"))
+    return rows.select("series_id", (F.row_number().over(by.orderBy(*keys)) - 1).cast("long").alias("pos"), value.alias("value"), F.count("*").over(by).alias("n"))
 
 
 def gather(rows: DataFrame, longest: int, segment: int = SEGMENT) -> DataFrame:
-    """From long form. Each value goes to its segment, and to those before in which a window of the longest length may reach it."""
+    """From long form. Each value goes to its segment, and to those before in which a window of the longest length may reach it. Rows that ``numbered``
+    gives are dealt by series already and aren't shuffled again."""
     first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("pos") - (longest - 1)) / segment))
     placed = rows.withColumn("seg", F.explode(F.sequence(first, F.floor(F.col("pos") / segment))))
     item = F.struct("pos", "value")
