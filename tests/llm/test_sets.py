@@ -41,6 +41,13 @@ def test_perfect_hash(n):
     assert (s.find(keys, keys ^ 7)[0] == 0).all()
 
 
+def test_shard_with_equal_halves():
+    place, mark = np.array([5, 5, 7, 5, -1]), np.array([1, 2, 3, 4, 5])
+    s = perfect.Shard.from_bytes(perfect.Shard.build(place, mark, mark + 10, mark + 20).to_bytes())
+    count, last = s.find(np.r_[place, 5, 8], np.r_[mark, 9, 1])
+    assert count.tolist() == [11, 12, 13, 14, 15, 0, 0] and last[:5].tolist() == [21, 22, 23, 24, 25]
+
+
 # --- lines
 
 

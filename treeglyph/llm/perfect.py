@@ -63,16 +63,23 @@ class PerfectHash:
 
 
 class Shard:
-    """Fingerprints, counts and last holders of the keys of one shard, at the places of a perfect hash."""
+    """Fingerprints, counts and last holders of the keys of one shard, at the places of a perfect hash. Keys that share the half which is hashed, but for the
+    first of them, are in a short list beside it."""
 
-    def __init__(self, hash_: PerfectHash, fingerprint: np.ndarray, count: np.ndarray, last: np.ndarray):
-        self.hash, self.fingerprint, self.count, self.last = hash_, fingerprint, count, last
+    FIELDS = ("fingerprint", "count", "last", "more")
+
+    def __init__(self, hash_: PerfectHash, fingerprint: np.ndarray, count: np.ndarray, last: np.ndarray, more: np.ndarray):
+        self.hash, self.fingerprint, self.count, self.last, self.more = hash_, fingerprint, count, last, more
 
     @classmethod
     def build(cls, place: np.ndarray, fingerprint: np.ndarray, count: np.ndarray, last: np.ndarray) -> Shard:
-        h = PerfectHash.build(place)
-        order = np.argsort(h.index(place))
-        return cls(h, fingerprint[order], count[order], last[order])
+        rows = np.stack([place, fingerprint, count, last], axis=1).astype(np.int64).reshape(-1, 4)
+        first = np.unique(rows[:, 0], return_index=True)[1]
+        more = np.delete(rows, first, axis=0)
+        rows = rows[first]
+        h = PerfectHash.build(rows[:, 0])
+        rows = rows[np.argsort(h.index(rows[:, 0]))]
+        return cls(h, *(rows[:, i].copy() for i in (1, 2, 3)), more)
 
     def find(self, place: np.ndarray, fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count (0: unknown) and last holder of each probe."""
@@ -80,14 +87,18 @@ class Shard:
             return np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
         at = self.hash.index(place)
         known = (at >= 0) & (self.fingerprint[at] == fingerprint)
-        return np.where(known, self.count[at], 0), self.last[at]
+        count, last = np.where(known, self.count[at], 0), self.last[at]
+        for p, f, n, who in self.more.tolist():
+            same = (place == p) & (fingerprint == f)
+            count[same], last[same] = n, who
+        return count, last
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, bits=self.hash.bits, sizes=self.hash.sizes, fingerprint=self.fingerprint, count=self.count, last=self.last)
+        np.savez(out, bits=self.hash.bits, sizes=self.hash.sizes, **{f: getattr(self, f) for f in self.FIELDS})
         return out.getvalue()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Shard:
         x = np.load(io.BytesIO(data))
-        return cls(PerfectHash(x["bits"], x["sizes"]), x["fingerprint"], x["count"], x["last"])
+        return cls(PerfectHash(x["bits"], x["sizes"]), *(x[f] for f in cls.FIELDS))
