@@ -1,7 +1,7 @@
 """From documents to packed token sequences: quality rules, line dedup, near-dedup, substring dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the columns of documents.
-``run`` writes each stage's result to the shared folder and reads it again for the next.
+``run`` writes each stage's result to the shared folder and reads it again for the next, and deletes what no later stage reads.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from treeglyph.llm import linededup, minhash, packing, quality, suffixes
-from treeglyph.llm.common import free_shuffles, shared_table, table
+from treeglyph.llm.common import drop_since, free_shuffles, shared_table, table, tables_so_far
 from treeglyph.llm.queries import vocabulary
 
 
@@ -53,10 +53,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), tables_so_far()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = shared_table(docs, name.replace(" ", "-"))
+            drop_since(spark, since, docs)
             free_shuffles(spark)
     return docs

@@ -30,20 +30,34 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Paths of the shared tables of this driver, in the order in which they were made.
+_made: list[str] = []
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/treeglyph-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_shared(df: DataFrame) -> None:
-    """Delete a table that ``shared_table`` wrote and nothing will read again."""
-    spark = df.sparkSession
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def tables_so_far() -> int:
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the shared tables made since then, but for those that ``keep`` are read from."""
+    kept = [f for df in keep for f in df.inputFiles()[:1]]
+    left = []
+    for path in _made[since:]:
+        if any(f"/{path.rsplit('/', 1)[1]}/" in f for f in kept):
+            left.append(path)
+        else:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _made[since:] = left
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop_shared, free_shuffles, shared_table, utf8_values
+from .common import SPACE, drop_since, free_shuffles, shared_table, tables_so_far, utf8_values
 from .perfect import Shard
 
 MIN_CHARS, MIN_DOCS, SHARD_KEYS, HOT = 20, 3, 200_000, 1024
@@ -118,7 +118,7 @@ def without_hot(holders: DataFrame, hot: list) -> DataFrame:
 
 def drops_of(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Shard]:
     """doc_id and drops (16-byte hashes) of documents that lose lines, and the arrays of the hot keys."""
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, tables_so_far()
     holders = key_holders(docs, min_chars)
     keys = shared_table(recurring_keys(holders, min_docs), "line-keys")
     n, total = keys.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -130,8 +130,7 @@ def drops_of(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DO
     found = probe_shards(without_hot(holders, hot), shards, n_shards)
     drops = shared_table(found.groupBy("doc_id").agg(F.collect_set("key").alias("drops")), "line-drops")
     free_shuffles(spark)
-    for t in (keys, shards):
-        drop_shared(t)
+    drop_since(spark, since, drops)
     return drops, Shard.build(*(c[:, i] for i in range(4)))
 
 

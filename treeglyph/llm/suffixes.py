@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_shared, free_shuffles, shared_table, utf8_values
+from .common import drop_since, free_shuffles, shared_table, tables_so_far, utf8_values
 from .minhash import mix
 
 WIDTH, K = 100, 32
 REST = WIDTH - K
 HALF = REST // 2
-CHUNK, BLOCK, WIDE = 4 << 20, 20_000, 200_000
+CHUNK, BLOCK, WIDE = 2 << 20, 20_000, 20_000
 _LOW = np.uint64(0xFFFFFF)
 _SET = np.uint64(1 << 32)  # in the half of a hash that is kept: 0 stands for none
 _ODD = mix(np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -326,7 +326,7 @@ def sort_wide(held: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
     """doc and spans array<long> (start * 2^32 + length) of documents that lose bytes."""
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, tables_so_far()
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     twice = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not twice.isEmpty():
@@ -342,7 +342,7 @@ def repeats(docs: DataFrame, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
     packed = (F.col("start") * (1 << 32) + F.col("size")).alias("span")
     out = shared_table(spans.select("doc", packed).groupBy("doc").agg(F.collect_list("span").alias("spans")), "repeats")
     free_shuffles(spark)
-    drop_shared(settled)
+    drop_since(spark, since, out)
     return out
 
 
