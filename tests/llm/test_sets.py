@@ -173,10 +173,11 @@ def near_rows():
     return [*rows, (400, None), (401, ""), (402, " \n"), (403, "One"), (404, "one"), (405, "a b"), (406, "A  b"), (407, "a b " * 5000), (408, "a b " * 5000 + "c")]
 
 
-@pytest.mark.parametrize("words,large", [(2, 64), (2, 1), (5, 10**9)])
-def test_near_duplicates(spark, words, large):
+@pytest.mark.parametrize("words,large,few,block", [(2, 64, 16, 256), (2, 1, 0, 3), (5, 10**9, 0, 5), (5, 10**9, 10**9, 256), (5, 64, 2, 256)])
+def test_near_duplicates(spark, monkeypatch, words, large, few, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rows = near_rows()
-    got = minhash.near_duplicates(docs_of(spark, rows), words=words, large=large).collect()
+    got = minhash.near_duplicates(docs_of(spark, rows), words=words, large=large, few=few).collect()
     want = brute_near(rows, words, 80)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)

@@ -9,8 +9,8 @@ Banding: BANDS bands of ROWS coordinates; a pair of similarity s shares no bucke
 
 Documents with equal sets are one class from the start, represented by the smallest doc_id. In each bucket, pairs are verified on full sets, but only
 as long as they can change the result: first every member against one member of its bucket, in a few rounds with other centres and only where
-members are still in different components, then the members outside their bucket's largest component: against its members, in blocks that are held as
-inverted indexes, where it is large, else pair by pair. From the second round on pairs that share no rare shingle are ruled out by the number of other shingles. Every pair that shares a bucket
+members are still in different components, then the members outside their bucket's largest component: against its members where it is large, and against each
+other where there are many, in blocks that are held as inverted indexes; else pair by pair. From the second round on pairs that share no rare shingle are ruled out by the number of other shingles. Every pair that shares a bucket
 is thus verified, already connected, or proven to have no link; nothing is capped.
 
 A null text, or one without words, has an empty set and is linked with nothing. Rows with the same doc_id are one node, with the links of all of them. Rows
@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, shared_table, utf8_values
+from .common import drop_since, free_shuffles, shared_table, tables_so_far, utf8_values
 from .components import components
 
-ROWS, BANDS, ROUNDS, RARE, LARGE, BLOCK = 6, 48, 2, 16, 64, 256
+ROWS, BANDS, ROUNDS, RARE, LARGE, FEW, BLOCK = 6, 48, 2, 16, 64, 16, 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -239,6 +239,66 @@ def _against(probes: DataFrame, targets: DataFrame, sets: DataFrame, percent: in
     return both.repartition("comp", "block").sortWithinPartitions("comp", "block", "side").mapInArrow(run, "a long, b long")
 
 
+def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members (bucket, id, comp) of the same bucket that are in different components: for each member one, at least, to each component that it
+    has any to. A bucket is dealt to blocks of BLOCK sets or so; a member is held in its own block and probes that and those after it."""
+    size = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = members.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).join(sets.select("id", "items").hint("merge"), "id")
+    names = ("bucket", "block", "side", "id", "comp", "items")
+    held = dealt.withColumn("side", F.lit(0)).select(*names)
+    later = dealt.where(F.col("block") + 1 < F.col("blocks")).withColumn("block", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)))
+    both = held.unionByName(later.withColumn("side", F.lit(1)).select(*names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, index = None, [], None
+        found: list[tuple[int, int]] = []
+
+        def probe(id_: int, comp: int, s: np.ndarray, after: int) -> None:
+            flat, owner, sizes, comps = index
+            lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+            n = hi - lo
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            common = np.bincount(owner[at], minlength=len(sizes))
+            linked = np.flatnonzero((100 * common >= percent * (sizes + len(s) - common)) & (comps != comp))
+            linked = linked[linked > after]
+            for k in linked[np.unique(comps[linked], return_index=True)[1]].tolist():
+                found.append((min(id_, own[k][0]), max(id_, own[k][0])))
+
+        def close() -> None:
+            """The block is complete: index it, and let its members probe each other."""
+            nonlocal index
+            if index is not None or not own:
+                return
+            sizes = np.array([len(x) for _, _, x in own])
+            flat = np.concatenate([x for _, _, x in own])
+            order = np.argsort(flat, kind="stable")
+            index = flat[order], np.repeat(np.arange(len(own)), sizes)[order], sizes, np.array([c for _, c, _ in own])
+            for k, (id_, comp, s) in enumerate(own):
+                probe(id_, comp, s, k)
+
+        def out() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            found.clear()
+            return b
+
+        for batch in batches:
+            for bucket, block, side, id_, comp, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, block) != now:
+                    close()
+                    now, own, index = (bucket, block), [], None
+                s = np.frombuffer(items, np.uint64)
+                if side == 0:
+                    own.append((id_, comp, s))
+                elif own:
+                    close()
+                    probe(id_, comp, s, -1)
+            yield out()
+        close()
+        yield out()
+
+    return both.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "side").mapInArrow(run, "a long, b long")
+
+
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels (id, comp) with the components that new links put together."""
     if labels is None:
@@ -259,9 +319,9 @@ def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return shared_table(members.join(open_, "bucket", "left_semi"), "members")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, rounds: int = ROUNDS, large: int = LARGE) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, rounds: int = ROUNDS, large: int = LARGE, few: int = FEW) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, tables_so_far()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.where("doc_id is not null")
     held = shared_table(set_rows(docs, words), "sets")
@@ -309,13 +369,17 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
         largest = now.select("bucket", "comp").distinct().join(sizes, "comp", "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("size", F.lit(1)).alias("size"), "comp")).alias("t"))
         now = shared_table(now.join(largest.select("bucket", F.col("t.comp").alias("top"), F.col("t.size").alias("size")), "bucket"), "members")
         small = now.where((F.col("comp") != F.col("top")) | (F.col("size") < large)).select("bucket", "id", "n", "m", "comp")
+        full = small.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") > few).select("bucket")
+        links = _within(small.join(full, "bucket", "left_semi").select("bucket", "id", "comp"), sets, percent)
+        small = small.join(full, "bucket", "left_anti")
         pairs = small.join(as_other(small), "bucket").where(possible & (F.col("id") < F.col("c_id"))).select(*pair).distinct()
         found = _linked(pairs.join(tested, ["a", "b"], "left_anti"), sets, blocks, percent)
         probes = now.where((F.col("comp") != F.col("top")) & (F.col("size") >= large)).select("id", F.col("top").alias("comp")).distinct()
         targets = now.select("id", "comp").distinct().join(probes.select("comp").distinct(), "comp", "left_semi")
-        found = shared_table(found.unionByName(_against(probes, targets, sets, percent)), "links")
+        found = shared_table(found.unionByName(links).unionByName(_against(probes, targets, sets, percent)), "links")
         if not found.isEmpty():
             labels = _relabelled(labels, found)
+    drop_since(spark, since, held, first, *([labels] if labels is not None else []))
     out = held.join(first, ["s1", "s2"], "left")
     out = out.join(labels, "id", "left") if labels is not None else out.withColumn("comp", F.lit(None).cast("long"))
     comp = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("comp", "id")).otherwise(F.col("doc_id")))
