@@ -48,7 +48,7 @@ class WordIds:
     those of the two parts; new parts are encoded many at a time and told apart by their end marks. Other words are encoded by themselves.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 800_000, end_mark: str = "</w>"):
+    def __init__(self, tokenizer_file: str, most: int = 400_000, end_mark: str = "</w>"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its core
         from tokenizers import Tokenizer
 
@@ -102,13 +102,17 @@ class WordIds:
                 self._parts[p] = raw[at:end]
                 at = end
 
+    def forget(self) -> None:
+        self._known.clear()
+        self._parts = {b"": b""}
+
     def encode(self, words: list[bytes]) -> bytes:
         return b"".join(map(self._known.__getitem__, words))
 
 
 @functools.cache
 def word_ids(tokenizer_file: str) -> WordIds:
-    """One for each Python worker, which keeps what it knows from task to task."""
+    """One for each Python worker; what it knows goes with each task, as workers live on."""
     return WordIds(tokenizer_file)
 
 
@@ -122,21 +126,24 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, seen, ids_of = TaskContext.get().partitionId(), [0] * (capacity + 1), word_ids(tokenizer_file)
         names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), utf8_values(b.column(1))
-            for at in range(0, len(texts), 512):
-                rows, raw = [], []
-                for doc, words in zip(ids[at : at + 512], ids_of.learn([t or b"" for t in texts[at : at + 512]]), strict=True):
-                    whole = ids_of.encode(words) + end
-                    total = len(whole) // 4
-                    for start in range(0, total, capacity):
-                        piece = whole[4 * start : 4 * (start + capacity)]
-                        n = len(piece) // 4
-                        rows.append((doc, start, n, zlib.crc32(piece), total, pid, seen[n]))
-                        raw.append(piece)
-                        seen[n] += 1
-                cols = list(zip(*rows, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *([pa.array(raw, pa.binary())] * with_ids)], names=names)
+        try:
+            for b in batches:
+                ids, texts = b.column(0).to_pylist(), utf8_values(b.column(1))
+                for at in range(0, len(texts), 512):
+                    rows, raw = [], []
+                    for doc, words in zip(ids[at : at + 512], ids_of.learn([t or b"" for t in texts[at : at + 512]]), strict=True):
+                        whole = ids_of.encode(words) + end
+                        total = len(whole) // 4
+                        for start in range(0, total, capacity):
+                            piece = whole[4 * start : 4 * (start + capacity)]
+                            n = len(piece) // 4
+                            rows.append((doc, start, n, zlib.crc32(piece), total, pid, seen[n]))
+                            raw.append(piece)
+                            seen[n] += 1
+                    cols = list(zip(*rows, strict=True)) or [()] * 7
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *([pa.array(raw, pa.binary())] * with_ids)], names=names)
+        finally:
+            ids_of.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + ", ids binary" * with_ids)
 
