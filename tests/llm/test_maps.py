@@ -204,6 +204,56 @@ def test_longest_rule_wins():
     assert n == 4 and [i[0] for i in ids] == ["mit-grant", "mit-notice", "mit-as-is", "mit-liability"] and [f[0] for f in found] == ["MIT"] and not lost
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+SPDX = "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0"
+
+
+@pytest.mark.parametrize("first, line, last", [("", "", ""), ("/*\n", " * ", "\n */"), ("/**\n", " ** ", "\n **/"), ("", "# ", ""), ("", "// ", ""), ("", "-- ", ""), ("", ";; ", ""), ("<!--\n", "", "\n-->"), ("/*****\n", " * ", " *\n *****/")])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_whole_licences_in_comments(first, line, last, end):
+    commented = lambda text: (first + "\n".join((line + x).rstrip() for x in text.split("\n")) + last).replace("\n", end)
+    mit = ["mit-grant", "mit-notice", "mit-as-is", "mit-liability"]
+    apache = ["apache-2-line", "apache-compliance", "apache-copy", "apache-as-is", "apache-permissions"]
+    for text, ids, licences_ in ((MIT, mit, ["MIT"]), (APACHE, apache, ["Apache-2.0"]), (SPDX, ["spdx-mit", "spdx-apache-2"], ["MIT", "Apache-2.0"]), (f"{APACHE}\n\n{MIT}", apache + mit, ["Apache-2.0", "MIT"])):
+        text = commented(text) + end + "int main() { return 0; }"
+        _, got, found, lost = licences.Recogniser().scan(text)
+        assert [x[0] for x in got] == ids and [x[0] for x in found] == licences_ and not lost
+        assert all(0 <= a < b <= len(text) for _, a, b in found)
+
+
+def test_sentence_gives_all_its_identifiers():
+    known = (("long", "a licensed b c"), ("part", "licensed b"), ("end", "licensed d"))
+    assert licences.Recogniser(known).identify("A licensed d, a licensed b c, x licensed b") == ["end", "long", "part"]
+    assert licences.Recogniser().scan("x " * 5 + "*" * 50_000 + " " * 50_000 + "-" * 50_000)[0] == 1
+
+
 # --- chat
 
 

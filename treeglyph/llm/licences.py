@@ -4,8 +4,10 @@ A text is cut into sentences, each is normalised, and known licence sentences ar
 matched against ordered rules: from the first identifier on, the first rule whose whole sequence follows names a licence and consumes
 it; an identifier from which no rule goes on is passed over and reported as unmatched.
 
-Sentences end with a full stop, exclamation or question mark before white space, or at an empty line; a line break alone does not end one, as
-licence texts are wrapped. A sentence is normalised by dropping comment marks at line starts, lower-casing, and squeezing white space.
+Comment marks at the start and end of lines count as blanks. Sentences end with a full stop, exclamation or question mark before white space, or at an
+empty line, also one that has comment marks only; a line break alone does not end one, as licence texts are wrapped. A sentence is normalised by
+lower-casing and squeezing white space. It gives an identifier for each place where a known pattern matches, in order of position; of matches that
+overlap, those of the earlier pattern in the table. Spans are those of the sentences.
 
 Null and empty texts have no sentences and give empty lists; repeated rows give repeated results; other columns are ignored.
 """
@@ -85,13 +87,18 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 # Every pattern of SENTENCES needs one of these words or parts of words.
 HOOKS: tuple[str, ...] = ("licens", "permission", "redistribut", "copyright", "warrant", "endorse")
 
-_END = re.compile(r"(?<=[.!?])\s+|\n[ \t]*(?=\n)")
-_MARKS = re.compile(r"^[ \t]*(?:[#*;%]+|//+|--|/\*+|<!--)[ \t]*", re.M)
+_END = re.compile(r"(?<=[.!?])\s+|\n[^\S\n]*(?=\n)")
+_MARKS = re.compile(r"^[ \t]*(?:(?:/\*+/?|\*+/|[#*;%]+|//+|--+>?|<!--+)[ \t]*)+|(?:(?<!\*)\*+/|(?<!-)--+>|(?<=[ \t])[#*;%]+)[ \t\r]*$", re.M)
 _SPACE = re.compile(r"\s+")
 
 
+def unmarked(text: str) -> str:
+    """The text with blanks for comment marks; positions stay."""
+    return _MARKS.sub(lambda m: " " * len(m[0]), text)
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Spans of the text's sentences."""
+    """Spans of the sentences of a text without comment marks."""
     out, at = [], 0
     for m in _END.finditer(text):
         if text[at : m.start()].strip():
@@ -103,7 +110,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def normalise(sentence: str) -> str:
-    return _SPACE.sub(" ", _MARKS.sub("", sentence)).strip().lower()
+    return _SPACE.sub(" ", sentence).strip().lower()
 
 
 @dataclass(frozen=True)
@@ -114,17 +121,22 @@ class Recogniser:
     rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES
     hooks: tuple[str, ...] = HOOKS
 
-    def identify(self, sentence: str) -> str | None:
+    def identify(self, sentence: str) -> list[str]:
+        """Identifiers of a sentence without comment marks, in order of position."""
         low = sentence.lower()
         if self.hooks and not any(h in low for h in self.hooks):
-            return None
+            return []
         s = normalise(sentence)
-        return next((n for n, p in self.known if re.search(p, s)), None)
+        got: list[tuple[int, int, str]] = []
+        for name, pattern in self.known:
+            got += [(*m.span(), name) for m in re.finditer(pattern, s) if all(m.end() <= a or b <= m.start() for a, b, _ in got)]
+        return [name for _, _, name in sorted(got)]
 
     def scan(self, text: str) -> tuple[int, list[tuple[str, int, int]], list[tuple[str, int, int]], list[str]]:
         """Number of sentences, known ones with spans, licences with spans, identifiers that no rule took."""
+        text = unmarked(text)
         spans = sentences(text)
-        ids = [(name, a, b) for a, b in spans if (name := self.identify(text[a:b]))]
+        ids = [(name, a, b) for a, b in spans for name in self.identify(text[a:b])]
         found, lost, i = [], [], 0
         while i < len(ids):
             for licence, seq in self.rules:
