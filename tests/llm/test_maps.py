@@ -176,6 +176,24 @@ def test_a_stratum_with_other_habits_keeps_its_documents(spark):
     assert quality.quality_verdicts(docs, labels).where("not kept").count() == 0
 
 
+def test_cutoffs_hold_where_labels_tell(spark):
+    r = random.Random(11)
+    size = {"en": 600, "fr": 40, "zh": 400, "ja": 50, None: 300}
+    rows = [(lang, "".join(r.choices("abcdefghij", k=5))) for lang, n in size.items() for _ in range(n)]
+    rows = [(i, " ".join(["w" * 30 if lang in ("zh", "ja") else w + "$$$" * (lang == "fr")] * 2 + [f"{w}{j}" * (6 if lang in ("zh", "ja") else 1) for j in range(40)]), lang) for i, (lang, w) in enumerate(rows)]
+    rows += [(10_000 + i, text, "ko") for i, (_, text, lang) in enumerate(rows) if lang == "ja"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _, lang in rows if lang != "ko"], "doc_id long, quality int, toxic int")
+    cutoffs = quality.fit(quality.with_counts(docs), labels)
+    assert "word_length" in cutoffs["en"] and "word_length" in cutoffs["*"]
+    assert "word_length" not in cutoffs["zh"] and "symbols_per_word" in cutoffs["zh"]  # its own labels speak against the one only
+    assert cutoffs["fr"] == cutoffs["ja"] == {} and "ko" not in cutoffs  # too few labels, or none
+    lost = quality.quality_verdicts(docs, labels).where("not kept").count()
+    assert lost == 0 and quality.keep_quality(docs, labels).count() == docs.count()
+    few = quality.fit(quality.with_counts(docs), labels, quality.Rules(most=2))
+    assert set(few) == {"*", "en", "fr", "de", "es"} and few["en"] and not few["*"]
+
+
 # --- licences
 
 
