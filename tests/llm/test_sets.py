@@ -191,6 +191,15 @@ def test_keep_first_and_odd_tables(spark):
     assert minhash.near_duplicates(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_rows_of_a_doc_id_are_one_node(spark):
+    a, b, c, d = ("a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z aa bb")
+    rows = [(2, a), (3, a), (3, b), (9, b), (3, None), (4, c), (4, d), (5, d), (6, c), (7, d), (7, None), (8, None), (8, None), (None, a)]
+    got = minhash.near_duplicates(docs_of(spark, rows)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(2, 2), (3, 2), (9, 2), (4, 4), (5, 4), (6, 4), (7, 4), (8, 8), (None, None)} and len(got) == len(rows)
+    kept = minhash.keep_first(docs_of(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == sorted([("2", a), ("4", c), ("4", d), ("8", "None"), ("8", "None"), ("None", a)])
+
+
 def test_sketch_estimates_similarity():
     s = minhash.Sketcher()
     r = np.random.default_rng(0)

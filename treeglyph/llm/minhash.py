@@ -13,7 +13,8 @@ members are still in different components, then the members outside their bucket
 other where there are many, in blocks that are held as inverted indexes; else pair by pair. From the second round on pairs that share no rare shingle are ruled out by the number of other shingles. Every pair that shares a bucket
 is thus verified, already connected, or proven to have no link; nothing is capped.
 
-A null text, or one without words, has an empty set and is linked with nothing. Rows with the same doc_id are one node, with the links of all of them. Rows
+A null text, or one without words, has an empty set and is linked with nothing. Rows with the same doc_id are one node, with the links of all of them and
+one component. Rows
 without a doc_id have no class: component_id is null and they are kept. Other columns are ignored by the digest query and returned by ``keep_first``.
 """
 
@@ -379,10 +380,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
         found = shared_table(found.unionByName(links).unionByName(_against(probes, targets, sets, percent)), "links")
         if not found.isEmpty():
             labels = _relabelled(labels, found)
+    # rows of one doc_id are one node: the representatives of its sets are linked through it
+    twice = held.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    own = shared_table(held.join(twice, "doc_id", "left_semi").join(first, ["s1", "s2"]).where("n_shingles > 0 and doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct(), "links")
+    if not own.isEmpty():
+        labels = _relabelled(labels, own)
     drop_since(spark, since, held, first, *([labels] if labels is not None else []))
-    out = held.join(first, ["s1", "s2"], "left")
+    out = held.join(first, ["s1", "s2"], "left").withColumn("id", F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id")))
     out = out.join(labels, "id", "left") if labels is not None else out.withColumn("comp", F.lit(None).cast("long"))
-    comp = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("comp", "id")).otherwise(F.col("doc_id")))
+    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
