@@ -79,3 +79,22 @@ def test_empty_dictionary_gives_no_features(spark):
     s = src.whole(spark.createDataFrame([(0, [1.0, 2.0])], "series_id long, x array<double>"))
     none = spark.createDataFrame([], "rank int, code string, length int")
     assert features.matrix(s, none, spark.createDataFrame([], "series_id long, code string, cnt double")).count() == 0
+
+
+def test_mining_past_the_overlap_of_segments(spark):
+    import pytest
+
+    from treeglyph.operators.counts import series_counts
+    from treeglyph.plans.mining import mine
+    from treeglyph.sources.series import gather, whole
+
+    rows = spark.createDataFrame([(1, i, float(i), 90) for i in range(90)] + [(2, i, float(-i), 25) for i in range(25)], "series_id long, pos long, value double, n long")
+    cut = gather(rows, 8, 32)
+    got = {(r["length"], r["code"]): r["support"] for r in mine(cut, 0, 2.0).dictionary.collect()}
+    up = {(m, ",".join(["0"] + ["1"] * (m - 1))): 91 - m for m in range(2, 90)}
+    down = {(m, ",".join(["0"] * m)): 26 - m for m in range(2, 25)}
+    assert got == up | down
+    with pytest.raises(Exception, match="pass the end of a segment"):
+        series_counts(cut, [9]).collect()
+    assert series_counts(cut, [8]).agg({"cnt": "sum"}).first()[0] == 83 + 18
+    assert series_counts(whole(spark.createDataFrame([(1, [1.0, 2.0])], "series_id long, x array<double>")), [2, 9]).count() == 1

@@ -114,6 +114,8 @@ def count_batch(spec: CountSpec, offsets: np.ndarray, values: np.ndarray, shift:
     number, codes = np.zeros(len(start), np.int64), np.zeros((1, 1), np.int32)
     for m in range(2, reach + 1):
         live = pos[start] + m <= lens[series[start]]
+        if (~live & (pos[start] + shift[series[start]] + m <= n[series[start]])).any():
+            raise ValueError(f"windows of length {m} pass the end of a segment that was made for shorter ones")
         start, number = start[live], number[live]
         end = start + m - 1
         if spec.ties == "strict":

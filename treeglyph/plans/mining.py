@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import counts as C
 from ..operators import select as S
 from ..operators.features import matrix
+from ..sources.series import longest_whole, regather
 from .tables import cut
 
 CAP, MAX_CELLS = 2_000_000, 100_000_000
@@ -62,15 +63,18 @@ def wanted_lengths(series: DataFrame, budget: int, lengths: Iterable[int] | None
 
 
 def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[int] | None = None, cap: int = CAP, ties: str = "strict", keep: bool = True) -> Mined:
-    """By rounds of lengths. ``series`` are whole, or segments made for the longest length in question; with ``keep`` they, and each round's support, stay in
+    """By rounds of lengths. ``series`` are whole, or segments, which are made anew for rounds whose lengths pass their overlap; with ``keep`` they, and each round's support, stay in
     memory or on executors' disks between rounds, and are made anew where an executor is lost. The last round isn't cut short, so its test is left out."""
     if budget < 0 or not math.isfinite(minsup) or minsup <= 0 or cap < 1:
         raise ValueError("invalid budget, minsup or cap")
     series = series.persist(KEEP) if keep else series
     todo = wanted_lengths(series, budget, lengths)
     able = stages = found = None
-    reason, top = "all lengths", []
+    reason, top, fits = "all lengths", [], longest_whole(series)
     for own in rounds(todo):
+        if fits is not None and own[-1] > fits:
+            series, fits = regather(series, own[-1]), own[-1]
+            series = series.persist(KEEP) if keep else series
         counts = C.series_counts(series, own, ties)
         support = C.corpus_support(counts, minsup).persist(KEEP)
         last = support.where(F.col("length") == own[-1]).agg(F.max("support"), F.count_if(F.col("qualifying") > 0)).first()

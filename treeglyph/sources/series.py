@@ -44,6 +44,18 @@ def gather(rows: DataFrame, longest: int, segment: int = SEGMENT) -> DataFrame:
     return got.select("series_id", F.transform("items", lambda t: t["value"]).alias("x"), shift.alias("shift"), "n", F.least(F.lit(segment), F.col("n") - shift).cast("long").alias("own"))
 
 
+def longest_whole(series: DataFrame) -> int | None:
+    """The longest length whose windows are whole in every segment; None where no segment ends before its series does."""
+    size = F.size("x")
+    return series.where(F.col("shift") + size < F.col("n")).agg(F.min(size - F.col("own") + 1)).first()[0]
+
+
+def regather(series: DataFrame, longest: int, segment: int = SEGMENT) -> DataFrame:
+    """Segments made anew, for windows of a longer length."""
+    each = series.select("series_id", "shift", "n", F.posexplode(F.slice("x", F.lit(1), F.col("own").cast("int"))).alias("at", "value"))
+    return gather(each.select("series_id", (F.col("shift") + F.col("at")).alias("pos"), "value", "n"), longest, segment)
+
+
 def from_rows(df: DataFrame, id_col: str, order: list[str], value_col: str, longest: int = 32, segment: int = SEGMENT) -> DataFrame:
     return gather(numbered(df, id_col, order, value_col), longest, segment)
 
