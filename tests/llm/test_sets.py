@@ -119,6 +119,20 @@ def test_pieces_and_places(spark):
     assert packing.pack(docs_of(spark, []).limit(0), WORDS).count() == 0
 
 
+def test_packing_query_takes_the_ids_of_special_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from treeglyph.llm.queries import op4_packing
+
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b, <|startoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", "hello\n<|endoftext|>\t!", "don't <|endoftext|>s naïve<|startoftext|>é"]
+    docs_of(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(WORDS)
+    ids = [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    assert ids[0] == [3306, 49407, 1002, 1]
+    got = op4_packing(spark, str(tmp_path)).collect()
+    assert sorted((g["doc_id"], g["length"], g["ids_crc32"]) for g in got) == [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)]
+
+
 @pytest.mark.parametrize("histogram", [{}, {5: 1}, {2048: 3}, {1: 10_000, 7: 500, 300: 900}, {700: 1000, 640: 3}, {k: k % 7 for k in range(1, 2049)}])
 def test_histogram_packing(histogram):
     slots = packing.shortest_pack_first(histogram)

@@ -46,14 +46,15 @@ class WordIds:
 
     Each word's ids, as little-endian bytes, are kept for when it comes again. New words of letters and marks are put together from
     those of the two parts; new parts are encoded many at a time and told apart by their end marks. Other words are encoded by themselves.
+    Special tokens that a text spells out are text like other, or with ``special_ids`` get their own ids, which is the tokenizer library's default.
     """
 
-    def __init__(self, tokenizer_file: str, most: int = 400_000, end_mark: str = "</w>"):
+    def __init__(self, tokenizer_file: str, most: int = 400_000, end_mark: str = "</w>", special_ids: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its core
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not special_ids
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith(end_mark)]] = True
@@ -111,20 +112,20 @@ class WordIds:
 
 
 @functools.cache
-def word_ids(tokenizer_file: str) -> WordIds:
+def word_ids(tokenizer_file: str, special_ids: bool = False) -> WordIds:
     """One for each Python worker; what it knows goes with each task, as workers live on."""
-    return WordIds(tokenizer_file)
+    return WordIds(tokenizer_file, special_ids=special_ids)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, pid long, nth long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int | None = END_ID, *, with_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int | None = END_ID, *, with_ids: bool = False, special_ids: bool = False) -> DataFrame:
     """PIECES (and ids binary, if asked for) of every document. nth: the piece's number among the task's pieces of its length."""
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, seen, ids_of = TaskContext.get().partitionId(), [0] * (capacity + 1), word_ids(tokenizer_file)
+        pid, seen, ids_of = TaskContext.get().partitionId(), [0] * (capacity + 1), word_ids(tokenizer_file, special_ids)
         names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
         try:
             for b in batches:
@@ -219,9 +220,9 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) ->
     return Slots(x[:, 0], first, x[:, 2], x[:, 3], x[:, 4], sequence)
 
 
-def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int | None = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int | None = END_ID, *, special_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = shared_table(cut_pieces(docs, tokenizer_file, capacity, end_id), "pieces")
+    pieces = shared_table(cut_pieces(docs, tokenizer_file, capacity, end_id, special_ids=special_ids), "pieces")
     cells = pieces.groupBy("length", "pid").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     slots = shortest_pack_first(histogram, capacity)

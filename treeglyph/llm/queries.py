@@ -34,7 +34,7 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), special_ids=True)
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
