@@ -94,6 +94,15 @@ def test_sample_tables():
     assert media.read_iso(b"junk") == [] and media.read_iso(b"") == []
 
 
+@pytest.mark.parametrize("version, unknown", [(0, 0), (0, 2**32 - 1), (1, 0), (1, 2**64 - 1)])
+def test_duration_by_sample_times(version, unknown):
+    box = lambda k, *p: struct.pack(">I4s", 8 + sum(map(len, p)), k) + b"".join(p)
+    mdhd = lambda d: box(b"mdhd", bytes([version, 0, 0, 0]), bytes(16 if version else 8), struct.pack(">IQ" if version else ">II", 1000, d), bytes(4))
+    stts = box(b"stts", bytes(4), struct.pack(">I6I", 3, 2, 400, 1, 50, 3, 2**31))
+    track = lambda d, *more: media.read_iso(box(b"moov", box(b"trak", box(b"mdia", mdhd(d), box(b"minf", box(b"stbl", *more))))))[0]
+    assert track(unknown, stts).duration == 850 + 3 * 2**31 and track(7, stts).duration == 7 and track(unknown).duration == 0
+
+
 def test_media_table(spark):
     docs = table(spark, ODD_TEXTS)
     rows = {r["doc_id"]: r for r in media.media_features(media.with_media(docs)).collect()}

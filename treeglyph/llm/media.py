@@ -1,8 +1,9 @@
 """Media columns: texts as ISO media files, and a reader that walks boxes without decoding payloads.
 
 ``write_iso`` stores a payload, a multiple of 64 bytes, as the frames of an uncompressed 8 x 8 grey track of 8-bit samples.
-``read_iso`` walks nested boxes of any such container, decodes the sample tables of every track (stts, ctts, stsc, stsz or stz2, stco or
-co64, stss) and gives codec, duration and the byte ranges of keyframes; contiguous ranges are merged.
+``read_iso`` walks nested boxes of any such container, decodes the sample tables of every track (stts, stsc, stsz or stz2, stco or
+co64, stss) and gives codec, duration and the byte ranges of keyframes; contiguous ranges are merged. The duration is that of mdhd or, where that has
+none (0, or all bits set), the sum of stts. Composition offsets (ctts) change neither and are not decoded. Samples in fragments (moof) are not read.
 
 Nulls are as empty texts; an empty text is stored as 64 zero bytes; other columns are ignored; equal texts give equal values.
 ``media_features`` gives null for what isn't an ISO media file.
@@ -120,7 +121,7 @@ def read_iso(data: bytes) -> list[Track]:
                 walk(a, b, own)
             elif kind in CONTAINERS:
                 walk(a, b, track)
-            elif track is not None and kind in (b"mdhd", b"hdlr", b"stsd", b"stts", b"ctts", b"stsc", b"stsz", b"stz2", b"stco", b"co64", b"stss"):
+            elif track is not None and kind in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz", b"stz2", b"stco", b"co64", b"stss"):
                 track.tables[kind] = bytes(view[a:b])
 
     walk(0, len(view), None)
@@ -137,6 +138,11 @@ def _decode(t: Track) -> None:
     x = t.tables
     if h := x.get(b"mdhd"):
         t.timescale, t.duration = struct.unpack_from(">IQ", h, 20) if h[0] else struct.unpack_from(">II", h, 12)
+        if t.duration in (0, (1 << 64) - 1 if h[0] else (1 << 32) - 1):
+            t.duration = 0
+            if h := x.get(b"stts"):
+                runs = _ints(h, ">u4", 8, 2 * struct.unpack_from(">I", h, 4)[0])
+                t.duration = sum(n * ticks for n, ticks in zip(runs[::2].tolist(), runs[1::2].tolist()))
     if h := x.get(b"hdlr"):
         t.handler = h[8:12].decode("latin-1")
     if (h := x.get(b"stsd")) and len(h) >= 16:
