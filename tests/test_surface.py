@@ -71,3 +71,15 @@ def test_subset(spark):
     s = as_series(spark, MIX)
     a, b = ({r["series_id"] for r in series.subset(s, 7, 3).collect()} for _ in range(2))
     assert a == b and len(a) == 7
+
+
+def test_clustering_queries_take_ten_restarts(spark, monkeypatch):
+    from tests.conftest import SF
+    from treeglyph import queries
+    from treeglyph.operators import cluster
+
+    seeds, real = [], cluster.KMeans
+    monkeypatch.setattr(cluster, "KMeans", lambda **k: seeds.append(k["seed"]) or real(**k))
+    assert queries.raw_kmeans(spark, SF).count() > 0 and seeds == list(range(10))
+    seeds.clear()
+    assert queries.kmeans_clusters(spark, SF).count() > 0 and seeds == list(range(10))

@@ -479,9 +479,9 @@ def pca_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = features.scaled(_cells(spark, sf_dir)[0]).drop("cnt").withColumnRenamed("z", "cnt")
-    return cluster.kmeans(features.vectors(z), 10, restarts=3).select("series_id", "label", "cluster")
+    return cluster.kmeans(features.vectors(z), 10).select("series_id", "label", "cluster")
 
 
 @query()
 def raw_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.kmeans(cluster.raw_vectors(src.view(spark, sf_dir, "embeddings")), 10, restarts=3).select("series_id", "label", "cluster")
+    return cluster.kmeans(cluster.raw_vectors(src.view(spark, sf_dir, "embeddings")), 10).select("series_id", "label", "cluster")
