@@ -281,6 +281,77 @@ def test_sentence_gives_all_its_identifiers():
     assert licences.Recogniser().scan("x " * 5 + "*" * 50_000 + " " * 50_000 + "-" * 50_000)[0] == 1
 
 
+KNOWN = {  # sentences of published licences, with what they make
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": ["lgpl-grant", "version-2.1-later"],
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": ["agpl-grant", "version-3-later"],
+    "This program is free software; you can redistribute it and/or modify it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation.": ["gpl-2-grant"],
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.": ["gpl-grant", "version-2"],
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.": ["gpl-hope"],
+    "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation.": ["lgpl-received"],
+    "You should have received a copy of the GNU Affero General Public License along with this program.": ["agpl-received"],
+    "You should have received a copy of the GNU General Public License along with this program.": ["gpl-received"],
+    "Licensed under the GNU General Public License, version 3 or later.": ["gpl-3-line-later"],
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": ["isc-grant"],
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.": ["isc-as-is"],
+    "This software is provided 'as-is', without any express or implied warranty.": ["zlib-as-is"],
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:": ["zlib-grant"],
+    "Distributed under the Boost Software License, Version 1.0.": ["boost-line"],
+    "This is free and unencumbered software released into the public domain.": ["unlicense-domain"],
+    "To the extent possible this data is released under CC0 1.0.": ["cc0-line"],
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": ["bsd-endorse"],
+    "This project is licensed under the MIT License - see the LICENSE file.": ["mit-line"],
+    "SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0+": ["spdx-mit", "spdx-apache-2", "spdx-gpl-2.0-or-later"],
+    "SPDX-License-Identifier: GPL-2.0-or-later": ["spdx-gpl-2.0-or-later"],
+    "SPDX-License-Identifier: LGPL-2.1-only": ["spdx-lgpl-2.1-only"],
+}
+UNKNOWN = [
+    "This file is not licensed under the MIT license.", "It isn't released under the MIT License.", "Formerly licensed under the Apache License, Version 2.0.", "Is it released under the MIT License?", "A licence like one distributed under the MIT license.",
+    "Unless you are licensed under the Apache License, Version 2.0.", "We talked about the GNU General Public License.", "Permission is hereby granted to leave the room.", "The warranty of a car ends.", "Copyright 2020 somebody.",
+    "Released under the MIT License of another kind.", "This software is provided as is.", "SPDX-License-Identifier: Own-1.0",
+]
+
+
+@pytest.mark.parametrize("sentence", [*KNOWN, *UNKNOWN])
+def test_sentences_are_known_as_a_whole(sentence):
+    for text in (sentence, sentence.upper().replace("N'T", "n't"), sentence.replace(" ", "\n # ")):
+        assert [x[0] for x in licences.Recogniser().scan(text)[1]] == KNOWN.get(sentence, []), text
+
+
+def test_licence_names():
+    scan = lambda *parts: [x[0] for x in licences.Recogniser().scan("\n\n".join(parts))[2]]
+    s = list(KNOWN)
+    assert scan(s[0], s[4], s[5]) == ["LGPL-2.1-or-later"] and scan(s[1], s[4], s[6]) == ["AGPL-3.0-or-later"] and scan(s[2], s[4], s[7]) == scan(s[3]) == ["GPL-2.0-only"]
+    assert scan(s[8]) == ["GPL-3.0-or-later"] and scan(s[9], s[10]) == ["ISC"] and scan(s[11], s[12]) == ["Zlib"] and scan(s[13]) == ["BSL-1.0"]
+    assert scan(s[14]) == ["Unlicense"] and scan(s[15]) == ["CC0-1.0"] and scan(s[18]) == ["MIT", "Apache-2.0", "GPL-2.0-or-later"] and scan(s[20]) == ["LGPL-2.1-only"]
+
+
+def brute_rules(ids, rules):
+    """Every rule at every place, by whole slices; the first in order of the table."""
+    found, lost, i = [], [], 0
+    while i < len(ids):
+        fits = [(licence, len(seq)) for licence, seq in rules if ids[i : i + len(seq)] == list(seq)]
+        found += [fits[0][0]] if fits else []
+        lost += [] if fits else [ids[i]]
+        i += fits[0][1] if fits else 1
+    return found, lost
+
+
+def test_licence_query_against_brute_force(spark):
+    """Texts put together from sentences whose identifiers are known beforehand."""
+    r = random.Random(12)
+    texts, want = [], []
+    for _ in range(300):
+        parts = r.choices([*KNOWN, *UNKNOWN, "Plain prose, nothing more.", "Noch ein Satz!"], k=r.randint(0, 9))
+        texts.append("".join(r.choice(["{}\n\n", "// {}\n//\n", "* {}\n\n"]).format(x) for x in parts))
+        ids = [i for x in parts for i in KNOWN.get(x, [])]
+        want.append((ids, *brute_rules(ids, licences.RULES)))
+    texts += [None, "", (list(KNOWN)[0] + "\n\n") * 20_000, texts[0], texts[0]]
+    want += [([], [], []), ([], [], []), (["lgpl-grant", "version-2.1-later"] * 20_000, ["LGPL-2.1-or-later"] * 20_000, []), want[0], want[0]]
+    got = {x["doc_id"]: x for x in licences.scan_licences(table(spark, texts)).collect()}
+    assert [(x["sentence_ids"], [y["licence"] for y in x["licences"]], x["unmatched"]) for x in (got[i] for i in range(len(texts)))] == want
+    assert licences.scan_licences(table(spark, texts[:1]).limit(0)).count() == 0
+
+
 # --- chat
 
 
