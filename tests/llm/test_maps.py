@@ -117,6 +117,53 @@ def test_media_table(spark):
     assert all(r["feature"] is None for r in media.media_features(bad).collect())
 
 
+def iso(**tables):
+    """A track with the given tables; all others are good ones for two samples of four bytes."""
+    box = lambda k, *p: struct.pack(">I4s", 8 + sum(map(len, p)), k) + b"".join(p)
+    good = {"mdhd": bytes(4) + struct.pack(">IIIIHH", 0, 0, 10, 20, 0, 0), "hdlr": bytes(8) + b"vide", "stsd": bytes(4) + struct.pack(">I", 1) + box(b"raw ", bytes(8)), "stts": bytes(4) + struct.pack(">III", 1, 2, 10)}
+    good |= {"stsz": bytes(4) + struct.pack(">II", 4, 2), "stsc": bytes(4) + struct.pack(">IIII", 1, 1, 2, 1), "stco": bytes(4) + struct.pack(">II", 1, 8)}
+    x = {k: box(k.encode(), v) for k, v in (good | tables).items() if v is not None}
+    stbl = box(b"stbl", *(v for k, v in x.items() if k not in ("mdhd", "hdlr")))
+    return box(b"mdat", b"abcdefgh") + box(b"moov", box(b"trak", box(b"mdia", x["mdhd"], x["hdlr"], box(b"minf", stbl))))
+
+
+BAD = {
+    "short mdhd": {"mdhd": b"\0\0"}, "short mdhd 1": {"mdhd": b"\1" + bytes(20)}, "short stsz": {"stsz": bytes(5)}, "short stco": {"stco": bytes(6)}, "short stsc": {"stsc": bytes(4)},
+    "count of stsz": {"stsz": bytes(4) + struct.pack(">II", 0, 2**32 - 1)}, "uniform stsz": {"stsz": bytes(4) + struct.pack(">II", 4, 2**32 - 1)}, "count of stco": {"stco": bytes(4) + struct.pack(">II", 9, 8)},
+    "order of stsc": {"stsc": bytes(4) + struct.pack(">I6I", 2, 1, 1, 1, 1, 1, 1)}, "first of stsc": {"stsc": bytes(4) + struct.pack(">IIII", 1, 7, 2, 1)},
+    "negative": {"stco": None, "co64": bytes(4) + struct.pack(">IQ", 1, 2**64 - 4)}, "stz2": {"stsz": None, "stz2": bytes(7) + b"\5" + struct.pack(">I", 2) + bytes(9)}, "count of stss": {"stss": bytes(4) + struct.pack(">I", 5)},
+}
+
+
+def test_malformed_media(spark):
+    good = media.read_iso(iso())[0]
+    assert good.ranges() == [(8, 8)] and good.duration == 20 and good.codec == "raw "
+    assert media.read_iso(iso(stsc=bytes(4) + struct.pack(">IIII", 1, 1, 2**32 - 1, 1)))[0].ranges() == [(8, 8)]  # a chunk may promise more
+    assert media.read_iso(iso(stss=bytes(4) + struct.pack(">III", 2, 0, 2)))[0].ranges() == [(12, 4)]
+    assert media.read_iso(iso(stsz=None, stz2=bytes(7) + b"\4" + struct.pack(">I", 2) + b"\x44"))[0].ranges() == [(8, 8)]
+    for name, tables in BAD.items():
+        with pytest.raises(media.MediaError):
+            media.read_iso(iso(**tables))
+            raise AssertionError(name)
+    deep = b""
+    for _ in range(3000):
+        deep = struct.pack(">I4s", 8 + len(deep), b"moov") + deep
+    with pytest.raises(media.MediaError):
+        media.read_iso(deep)
+    whole = media.write_iso(media.pad(b"x" * 300))
+    files = [iso(), *(iso(**t) for t in BAD.values()), deep, iso(stco=bytes(4) + struct.pack(">II", 1, 2**31)), *(whole[:n] for n in range(0, len(whole), 7))]
+    r = random.Random(2)
+    for _ in range(400):  # any bytes may be wrong
+        x = bytearray(whole)
+        for _ in range(r.randint(1, 4)):
+            x[r.randrange(len(x))] = r.randrange(256)
+        files.append(bytes(x))
+    df = spark.createDataFrame([(i, 0, x) for i, x in enumerate(files)], "doc_id long, n_bytes long, media binary")
+    rows = {x["doc_id"]: x for x in media.media_features(df).collect()}
+    assert len(rows) == len(files) and rows[0]["payload_bytes"] == 8 and all(rows[i + 1]["feature"] is None for i in range(len(BAD) + 2))
+    assert media.media_features(media.with_media(table(spark, ["x"]).limit(0))).count() == 0
+
+
 # --- quality
 
 

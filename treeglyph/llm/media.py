@@ -5,8 +5,9 @@
 co64, stss) and gives codec, duration and the byte ranges of keyframes; contiguous ranges are merged. The duration is that of mdhd or, where that has
 none (0, or all bits set), the sum of stts. Composition offsets (ctts) change neither and are not decoded. Samples in fragments (moof) are not read.
 
-Nulls are as empty texts; an empty text is stored as 64 zero bytes; other columns are ignored; equal texts give equal values.
-``media_features`` gives null for what isn't an ISO media file.
+Nulls are as empty texts; an empty text is stored as 64 zero bytes; other columns are ignored; equal texts give equal values; an empty table gives an empty
+result. ``media_features`` gives null for what isn't an ISO media file or has tables that are cut short, contradict each other or lead out of the file.
+What a table's count makes the reader hold is bounded by the file's size.
 """
 
 from __future__ import annotations
@@ -111,30 +112,62 @@ def boxes(data: memoryview, at: int, end: int) -> Iterator[tuple[bytes, int, int
         at += size
 
 
-def read_iso(data: bytes) -> list[Track]:
+class MediaError(ValueError):
+    """Boxes or tables that can't be what they say."""
+
+
+DEEPEST = 16
+
+
+def read_iso(data: bytes, file_size: int | None = None) -> list[Track]:
+    """The tracks of a file, or of its head (then ``file_size`` is that of the whole); MediaError where a table can't be what it says."""
     view, tracks = memoryview(data), []
 
-    def walk(at: int, end: int, track: Track | None) -> None:
+    def walk(at: int, end: int, track: Track | None, depth: int) -> None:
+        if depth > DEEPEST:
+            raise MediaError("boxes are nested too deep")
         for kind, a, b in boxes(view, at, end):
             if kind == b"trak":
                 tracks.append(own := Track())
-                walk(a, b, own)
+                walk(a, b, own, depth + 1)
             elif kind in CONTAINERS:
-                walk(a, b, track)
+                walk(a, b, track, depth + 1)
             elif track is not None and kind in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz", b"stz2", b"stco", b"co64", b"stss"):
                 track.tables[kind] = bytes(view[a:b])
 
-    walk(0, len(view), None)
+    walk(0, len(view), None, 0)
     for t in tracks:
-        _decode(t)
+        try:
+            _decode(t, file_size or len(view))
+        except struct.error as e:
+            raise MediaError(f"a table is too short: {e}") from e
     return tracks
 
 
 def _ints(x: bytes, kind: str, at: int, count: int) -> np.ndarray:
-    return np.frombuffer(x, kind, min(count, (len(x) - at) // np.dtype(kind).itemsize), at).astype(np.int64)
+    if count * np.dtype(kind).itemsize > len(x) - at:
+        raise MediaError("a table is shorter than its count")
+    return np.frombuffer(x, kind, count, at).astype(np.int64)
 
 
-def _decode(t: Track) -> None:
+def _sizes(x: dict[bytes, bytes], file_size: int) -> np.ndarray:
+    if h := x.get(b"stsz"):
+        size, n = struct.unpack_from(">II", h, 4)
+        if size and n > file_size // size:
+            raise MediaError("more samples than the file has room for")
+        return np.full(n, size, np.int64) if size else _ints(h, ">u4", 12, n)
+    if not (h := x.get(b"stz2")):
+        return np.empty(0, np.int64)
+    bits, n = struct.unpack_from(">BI", h, 7)
+    if bits == 4:
+        pairs = _ints(h, ">u1", 12, -(-n // 2))
+        return np.c_[pairs >> 4, pairs & 15].ravel()[:n]
+    if bits not in (8, 16):
+        raise MediaError(f"sizes of {bits} bits")
+    return _ints(h, f">u{bits // 8}", 12, n)
+
+
+def _decode(t: Track, file_size: int) -> None:
     x = t.tables
     if h := x.get(b"mdhd"):
         t.timescale, t.duration = struct.unpack_from(">IQ", h, 20) if h[0] else struct.unpack_from(">II", h, 12)
@@ -147,30 +180,26 @@ def _decode(t: Track) -> None:
         t.handler = h[8:12].decode("latin-1")
     if (h := x.get(b"stsd")) and len(h) >= 16:
         t.codec = h[12:16].decode("latin-1")
-    if h := x.get(b"stsz"):
-        size, n = struct.unpack_from(">II", h, 4)
-        t.sizes = np.full(n, size, np.int64) if size else _ints(h, ">u4", 12, n)
-    elif h := x.get(b"stz2"):
-        bits, n = h[7], struct.unpack_from(">I", h, 8)[0]
-        if bits == 4:
-            raw = np.frombuffer(h, np.uint8, offset=12)
-            t.sizes = np.c_[raw >> 4, raw & 15].ravel()[:n].astype(np.int64)
-        else:
-            t.sizes = _ints(h, ">u2" if bits == 16 else ">u1", 12, n)
+    t.sizes = _sizes(x, file_size)
     t.n_samples = n = len(t.sizes)
     h = x.get(b"co64") or x.get(b"stco")
     at = _ints(h, ">i8" if b"co64" in x else ">u4", 8, struct.unpack_from(">I", h, 4)[0]) if h else np.empty(0, np.int64)
     if n and len(at) and (h := x.get(b"stsc")):
         runs = _ints(h, ">u4", 8, 3 * struct.unpack_from(">I", h, 4)[0]).reshape(-1, 3)
-        per = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0] - 1, len(at)]))[: len(at)]
-        chunk = np.repeat(np.arange(len(per)), per)[:n]
+        if not len(runs) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any():
+            raise MediaError("chunks aren't in order")
+        per = runs[np.searchsorted(runs[:, 0], np.arange(1, len(at) + 1), "right") - 1, 1]
+        ends = np.cumsum(np.minimum(per, n))
+        sample = np.arange(min(n, int(ends[-1])))
+        chunk = np.searchsorted(ends, sample, "right")
         before = np.cumsum(t.sizes) - t.sizes
-        first = np.r_[0, np.cumsum(per)][chunk]
-        t.offsets = at[chunk] + before[: len(chunk)] - before[first]
-        t.sizes = t.sizes[: len(chunk)]
+        t.offsets = at[chunk] + before[: len(sample)] - before[np.r_[0, ends][chunk]]
+        if (t.offsets < 0).any():
+            raise MediaError("samples before the file")
+    t.sizes = t.sizes[: len(t.offsets)]
     h = x.get(b"stss")
-    t.keys = _ints(h, ">u4", 8, struct.unpack_from(">I", h, 4)[0]) - 1 if h else np.arange(len(t.offsets))
-    t.keys = t.keys[t.keys < len(t.offsets)]
+    keys = _ints(h, ">u4", 8, struct.unpack_from(">I", h, 4)[0]) - 1 if h else np.arange(len(t.offsets))
+    t.keys = keys[(keys >= 0) & (keys < len(t.offsets))]
 
 
 def describe(tracks: list[Track]) -> str:
@@ -199,8 +228,11 @@ def media_features(media: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     ranges = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
 
     def one(data: bytes | None) -> tuple:
-        tracks = read_iso(data) if data is not None else []
-        if not tracks:
+        try:
+            tracks = read_iso(data) if data is not None else []
+        except MediaError:
+            tracks = []
+        if not tracks or any((t.offsets + t.sizes > len(data)).any() for t in tracks):
             return (None,) * 9
         sha, tail, size = hashlib.sha256(), b"", 0
         view = memoryview(data)
