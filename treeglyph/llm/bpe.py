@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: A place between the two characters of a match. \S leaves out what either library takes for white space.
 _SAFE = re.compile(r"\S(?=[ \n\t\r])")
 EMPTY = np.empty(0, np.uint32)
@@ -101,7 +103,7 @@ def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, *, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>")
+    return map_arrow(docs.select(id_col, text_col), run, f"{id_col} {kind}, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_id") -> DataFrame:
@@ -114,7 +116,7 @@ def bpe_decode(encoded: DataFrame, rank_file: str, pattern: str, *, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "bytes"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, "ids").mapInArrow(run, f"{id_col} {kind}, bytes binary")
+    return map_arrow(encoded.select(id_col, "ids"), run, f"{id_col} {kind}, bytes binary")
 
 
 def bpe_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -132,4 +134,4 @@ def bpe_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 out_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(out_sha)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

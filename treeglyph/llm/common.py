@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: The bytes that separate words and that line keys are stripped of.
 SPACE = b" \t\n\r\x0b\x0c"
@@ -19,19 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A temporary one stands in for it on a local master only."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     own = spark.conf.get("treeglyph.local.shared.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         own = "file://" + tempfile.mkdtemp(prefix="treeglyph-")
         spark.conf.set("treeglyph.local.shared.dir", own)
     return own
 
 
-#: Paths of the shared tables of this driver, in the order in which they were made.
-_made: list[str] = []
+class _Made(threading.local):
+    """Paths of the shared tables of a driver's thread, in the order in which they were made: queries in other threads have their own."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
@@ -39,25 +49,24 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/treeglyph-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["shared_path"] = path
+    return out
 
 
 def tables_so_far() -> int:
-    return len(_made)
+    return len(_made.paths)
 
 
 def drop_since(spark: SparkSession, since: int, *keep: DataFrame) -> None:
-    """Delete the shared tables made since then, but for those that ``keep`` are read from."""
-    kept = [f for df in keep for f in df.inputFiles()[:1]]
-    left = []
-    for path in _made[since:]:
-        if any(f"/{path.rsplit('/', 1)[1]}/" in f for f in kept):
-            left.append(path)
-        else:
+    """Delete the shared tables that this thread made since then, but for those that ``keep`` are."""
+    kept = {vars(df).get("shared_path") for df in keep}
+    for path in _made.paths[since:]:
+        if path not in kept:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _made[since:] = left
+    _made.paths[since:] = [p for p in _made.paths[since:] if p in kept]
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -66,7 +75,7 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
@@ -77,8 +86,3 @@ def utf8_values(col: pa.Array) -> list[bytes | None]:
     elif pa.types.is_large_string(col.type):
         col = col.cast(pa.large_binary())
     return col.to_pylist()
-
-
-def batch_of(columns: dict[str, list | pa.Array], schema: pa.Schema) -> pa.RecordBatch:
-    arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=schema.field(n).type) for n, c in columns.items()]
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 # SPDX identifiers, and what the tables call some of them.
 SPDX: tuple[str, ...] = tuple(
     """MIT MIT-0 Apache-2.0 BSD-2-Clause BSD-3-Clause 0BSD ISC Zlib BSL-1.0 Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 MPL-2.0 EPL-1.0 EPL-2.0
@@ -254,4 +256,4 @@ def scan_licences(docs: DataFrame, recogniser: Recogniser = Recogniser(), *, id_
             )
 
     schema = f"{id_col} {kind}, n_sentences long, sentence_ids array<string>, licences array<struct<licence:string,start:long,end:long>>, unmatched array<string>"
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return map_arrow(docs.select(id_col, F.col(text_col).cast("string")), run, schema)

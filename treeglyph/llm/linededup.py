@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop_since, free_shuffles, shared_table, tables_so_far, utf8_values
+from .common import SPACE, drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, utf8_values
 from .perfect import Shard
 
 MIN_CHARS, MIN_DOCS, SHARD_KEYS, HOT = 20, 3, 200_000, 1024
@@ -62,7 +62,7 @@ def key_holders(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             h1, h2 = _halves([h for x in per for h in x])
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(h1), pa.array(h2)], names=["doc_id", "h1", "h2"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, h1 long, h2 long")
+    return map_arrow(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, h1 long, h2 long")
 
 
 def recurring_keys(holders: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -106,7 +106,7 @@ def probe_shards(holders: DataFrame, shards: DataFrame, n_shards: int) -> DataFr
                     raw = np.c_[p1[out], p2[out]].astype("<i8").tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array(d[out]), pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())], names=["doc_id", "key"])
 
-    return arrays.unionByName(probes).repartition("shard").sortWithinPartitions("shard", "probe").mapInArrow(run, "doc_id long, key binary")
+    return map_arrow(arrays.unionByName(probes).repartition("shard").sortWithinPartitions("shard", "probe"), run, "doc_id long, key binary")
 
 
 def without_hot(holders: DataFrame, hot: list) -> DataFrame:
@@ -163,7 +163,7 @@ def _thin(docs: DataFrame, columns: list[str], schema: str, emit: Callable, min_
             rows = [thinned(t or b"", k, set(d or ()), hot, min_chars) for t, k, d in zip(texts, b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield emit(b, rows)
 
-    return joined.mapInArrow(run, schema)
+    return map_arrow(joined, run, schema)
 
 
 def line_dedup_digests(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 FRAME, PER_CHUNK, TIMESCALE, TICK = 64, 1024, 25, 1
 #: Boxes whose content is boxes.
 CONTAINERS = frozenset((b"moov", b"trak", b"edts", b"mdia", b"minf", b"dinf", b"stbl", b"udta", b"mvex"))
@@ -218,7 +220,7 @@ def with_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([ids.slice(at, 256), pa.array(list(map(len, raw)), pa.int64()), pa.array([write_iso(pad(x)) for x in raw], pa.binary())], names=[id_col, "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, n_bytes long, media binary")
+    return map_arrow(docs.select(id_col, F.col(text_col).cast("string")), run, f"{id_col} {kind}, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
@@ -251,4 +253,4 @@ def media_features(media: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
             rows = [one(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names)
 
-    return media.select(id_col, "n_bytes", "media").mapInArrow(run, schema)
+    return map_arrow(media.select(id_col, "n_bytes", "media"), run, schema)

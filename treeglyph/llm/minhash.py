@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_since, free_shuffles, shared_table, tables_so_far, utf8_values
+from .common import drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, utf8_values
 from .components import components
 
 ROWS, BANDS, ROUNDS, RARE, LARGE, FEW, BLOCK = 6, 48, 2, 16, 64, 16, 256
@@ -102,7 +102,7 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
             s = np.frombuffer(b"".join(map(_set_hash, sets)), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1])], names=["doc_id", "n_shingles", "s1", "s2"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
+    return map_arrow(docs, run, "doc_id long, n_shingles long, s1 long, s2 long")
 
 
 def bucket_rows(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
@@ -121,7 +121,7 @@ def bucket_rows(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame
             bucket = np.concatenate(list(seen.values())).view(np.int64) if seen else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(np.repeat(np.array(sizes, np.int64), bands))], names=["bucket", "s1", "s2", "n"])
 
-    return docs.mapInArrow(run, "bucket long, s1 long, s2 long, n long")
+    return map_arrow(docs, run, "bucket long, s1 long, s2 long, n long")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -130,7 +130,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             sets = [shingles(t or b"", words).tobytes() for t in utf8_values(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "items"])
 
-    return docs.mapInArrow(run, "id long, items binary")
+    return map_arrow(docs, run, "id long, items binary")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int)
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "side").mapInArrow(run, "a long, b long")
+    return map_arrow(rows.repartition("key").sortWithinPartitions("key", "side"), run, "a long, b long")
 
 
 def _rare(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +177,7 @@ def _rare(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     that share rare ones are few: those for which that is enough for a link are given, (a, b). For the others m alone rules out heavily edited
     copies without reading their sets, and members whose m is too small for any link go."""
     ids = members.select("id", "n", "comp").distinct()
-    each = sets.join(ids.select("id"), "id", "left_semi").mapInArrow(_unpack, "id long, item long")
+    each = map_arrow(sets.join(ids.select("id"), "id", "left_semi"), _unpack, "id long, item long")
     rare = each.groupBy("item").agg(F.count("*").alias("k")).where(F.col("k") <= RARE)
     held = shared_table(each.join(rare, "item").select("id", "item", "k"), "rare")
     own = held.groupBy("id").agg(F.count("*").alias("own"))
@@ -237,7 +237,7 @@ def _against(probes: DataFrame, targets: DataFrame, sets: DataFrame, percent: in
                     b_out.append(max(id_, other))
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    return both.repartition("comp", "block").sortWithinPartitions("comp", "block", "side").mapInArrow(run, "a long, b long")
+    return map_arrow(both.repartition("comp", "block").sortWithinPartitions("comp", "block", "side"), run, "a long, b long")
 
 
 def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -297,7 +297,7 @@ def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         close()
         yield out()
 
-    return both.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "side").mapInArrow(run, "a long, b long")
+    return map_arrow(both.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "side"), run, "a long, b long")
 
 
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_since, free_shuffles, shared_table, tables_so_far, utf8_values
+from .common import drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, utf8_values
 from .minhash import mix
 
 WIDTH, K = 100, 32
@@ -143,7 +143,7 @@ def places(docs: DataFrame) -> DataFrame:
                 hull = pa.array(np.r_[f["hull"], size], mask=np.r_[np.zeros(len(at), bool), np.ones(len(size), bool)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.r_[f["key"], spread]), hull, pa.array(np.r_[rl, size]), pa.array(np.r_[f["doc"], doc]), pa.array(np.r_[at, start])], names=[c.split()[0] for c in _PLACES.split(", ")])
 
-    return docs.mapInArrow(run, _PLACES)
+    return map_arrow(docs, run, _PLACES)
 
 
 _SETTLED = "kind int, doc long, start long, size long, key long"
@@ -203,7 +203,7 @@ def settle(found: DataFrame, wide: int = WIDE) -> DataFrame:
         if held:
             yield suffixes(1, _doubtful(held[0]))
 
-    return found.repartition("key").sortWithinPartitions("key", "hull", "doc", "at").mapInArrow(run, _SETTLED)
+    return map_arrow(found.repartition("key").sortWithinPartitions("key", "hull", "doc", "at"), run, _SETTLED)
 
 
 def _with_places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def _hulls(held: DataFrame) -> DataFrame:
                             out[n].append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(out[n], pa.int64()) for n in ("key", "doc", "start", "size")), pa.array(out["hull"], pa.binary())], names=list(out))
 
-    return held.mapInArrow(run, "key long, doc long, start long, size long, hull binary")
+    return map_arrow(held, run, "key long, doc long, start long, size long, hull binary")
 
 
 def _runs(matrix: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,7 +295,7 @@ def sort_buckets(hulls: DataFrame, block: int = BLOCK) -> DataFrame:
         if held is not None:
             yield done(held)
 
-    return hulls.repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(run, "doc long, start long, size long")
+    return map_arrow(hulls.repartition("key").sortWithinPartitions("key", "doc", "start"), run, "doc long, start long, size long")
 
 
 def sort_wide(held: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def sort_wide(held: DataFrame) -> DataFrame:
             d, s, n = _merged(doc[rep], start[rep], np.full(int(rep.sum()), WIDTH))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (d, s, n)], names=["doc", "start", "size"])
 
-    return held.mapInArrow(windows, "w1 long, w2 long, doc long, start long").repartition("w1").sortWithinPartitions("w1", "w2", "doc", "start").mapInArrow(again, "doc long, start long, size long")
+    return map_arrow(map_arrow(held, windows, "w1 long, w2 long, doc long, start long").repartition("w1").sortWithinPartitions("w1", "w2", "doc", "start"), again, "doc long, start long, size long")
 
 
 def repeats(docs: DataFrame, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
@@ -384,7 +384,7 @@ def suffix_dedup_digests(docs: DataFrame, wide: int = WIDE, block: int = BLOCK)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _joined(docs, repeats(docs, wide, block), ["doc_id", "text"]).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(_joined(docs, repeats(docs, wide, block), ["doc_id", "text"]), run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def suffix_dedup(docs: DataFrame, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
@@ -407,4 +407,4 @@ def suffix_dedup(docs: DataFrame, wide: int = WIDE, block: int = BLOCK) -> DataF
             new = {"text": pa.array(texts, old.type)} | ({"n_chars": pa.array(sizes, b.column("n_chars").type)} if sizes is not None else {})
             yield pa.RecordBatch.from_arrays([new.get(n, b.column(n)) for n in names], names=names)
 
-    return _joined(docs, repeats(docs, wide, block), names).mapInArrow(run, docs.schema)
+    return map_arrow(_joined(docs, repeats(docs, wide, block), names), run, docs.schema)

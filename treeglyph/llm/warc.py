@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table, utf8_values
+from .common import map_arrow, shared_table, utf8_values
 
 MIN_REVISIT = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -145,7 +145,7 @@ def write_warc(pages: DataFrame, archive_bytes: int = 8 << 20) -> DataFrame:
         if out:
             yield pack()
 
-    return shared_table(with_revisits(pages).select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "archive binary, n_records long"), "warc")
+    return shared_table(map_arrow(with_revisits(pages).select("page_id", "url", "html", "digest", "refers_to"), run, "archive binary, n_records long"), "warc")
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
@@ -173,4 +173,4 @@ def read_warc(archives: DataFrame) -> DataFrame:
                         rows = []
                 yield pack(rows)
 
-    return archives.select("archive").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return map_arrow(archives.select("archive"), run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
