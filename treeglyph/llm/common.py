@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import threading
 import uuid
@@ -14,6 +15,8 @@ from pyspark.sql.types import StructType
 
 #: The bytes that separate words and that line keys are stripped of.
 SPACE = b" \t\n\r\x0b\x0c"
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES, _LIMIT = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,9 +79,20 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with batches of at most BATCH_BYTES: what a worker holds follows from that and not from the number of rows. The session's limit is
+    lowered where it is higher, and stays so, as plans run after they are returned."""
+    spark = df.sparkSession
+    if not 0 < _bytes_of(spark.conf.get(_LIMIT)) <= BATCH_BYTES:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
+def _bytes_of(size: str) -> int:
+    """A size as Spark writes it (4194304, 4m, 64MB ...) in bytes."""
+    m = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", size.strip().lower())
+    return int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]] if m else 0
+
+
 def utf8_values(col: pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     if pa.types.is_string(col.type):
