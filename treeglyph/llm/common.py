@@ -47,6 +47,13 @@ class _Made(threading.local):
 _made = _Made()
 
 
+def compact(df: DataFrame, by: int = 8) -> DataFrame:
+    """The same rows in an eighth of the shuffle's partitions, though not in fewer than there are cores: for tables that hold a small part of what
+    was shuffled, so that they don't become as many small files."""
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // by))
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, utf8_values
+from .common import SPACE, compact, drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, utf8_values
 from .perfect import Shard
 
 MIN_CHARS, MIN_DOCS, SHARD_KEYS, HOT = 20, 3, 200_000, 1024
@@ -125,10 +125,10 @@ def drops_of(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DO
     hot = keys.where(F.col("n") * HOT > total).collect() if total else []  # HOT rows at most: their shares sum to 1
     c = np.array([[r["h1"], r["h2"], r["n"], r["last"]] for r in hot], np.int64).reshape(-1, 4)
     n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_KEYS))
-    shards = shared_table(build_shards(keys, n_shards), "line-shards")
+    shards = shared_table(compact(build_shards(keys, n_shards)), "line-shards")
     free_shuffles(spark)
     found = probe_shards(without_hot(holders, hot), shards, n_shards)
-    drops = shared_table(found.groupBy("doc_id").agg(F.collect_set("key").alias("drops")), "line-drops")
+    drops = shared_table(compact(found.groupBy("doc_id").agg(F.collect_set("key").alias("drops"))), "line-drops")
     free_shuffles(spark)
     drop_since(spark, since, drops)
     return drops, Shard.build(*(c[:, i] for i in range(4)))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, utf8_values
+from .common import compact, drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, utf8_values
 from .components import components
 
 ROWS, BANDS, ROUNDS, RARE, LARGE, FEW, BLOCK = 6, 48, 2, 16, 64, 16, 256
@@ -179,7 +179,7 @@ def _rare(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     ids = members.select("id", "n", "comp").distinct()
     each = map_arrow(sets.join(ids.select("id"), "id", "left_semi"), _unpack, "id long, item long")
     rare = each.groupBy("item").agg(F.count("*").alias("k")).where(F.col("k") <= RARE)
-    held = shared_table(each.join(rare, "item").select("id", "item", "k"), "rare")
+    held = shared_table(compact(each.join(rare, "item").select("id", "item", "k")), "rare")
     own = held.groupBy("id").agg(F.count("*").alias("own"))
     rest = ids.join(own, "id", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     both = held.where("k > 1").select("id", "item").join(rest, "id")
@@ -303,13 +303,13 @@ def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels (id, comp) with the components that new links put together."""
     if labels is None:
-        return shared_table(components(links), "labels")
+        return shared_table(compact(components(links)), "labels")
     of = lambda side: labels.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))
     upper = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     new = components(upper)
     up = new.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
     old = labels.join(up, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
-    return shared_table(old.unionByName(new.join(labels.select("id"), "id", "left_anti")), "labels")
+    return shared_table(compact(old.unionByName(new.join(labels.select("id"), "id", "left_anti"))), "labels")
 
 
 def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -317,7 +317,7 @@ def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is not None:
         members = members.drop("comp").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("bucket", "id", "n", "m", "comp")
     open_ = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    return shared_table(members.join(open_, "bucket", "left_semi"), "members")
+    return shared_table(compact(members.join(open_, "bucket", "left_semi")), "members")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, rounds: int = ROUNDS, large: int = LARGE, few: int = FEW) -> DataFrame:
@@ -326,16 +326,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.where("doc_id is not null")
     held = shared_table(set_rows(docs, words), "sets")
-    first = shared_table(held.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "set-first")
+    first = shared_table(compact(held.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))), "set-first")
     # members of buckets with two different sets or more
     each = bucket_rows(named, words, rows, bands).repartition("bucket").dropDuplicates(["bucket", "s1", "s2"])
     shared = each.withColumn("k", F.count("*").over(Window.partitionBy("bucket"))).where("k > 1")
-    members = shared_table(shared.join(first, ["s1", "s2"]).select("bucket", "id", "n", F.col("n").alias("m"), F.col("id").alias("comp")), "members")
+    members = shared_table(compact(shared.join(first, ["s1", "s2"]).select("bucket", "id", "n", F.col("n").alias("m"), F.col("id").alias("comp"))), "members")
     free_shuffles(spark)
     sets = shared_table(_sets(named.join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), words), "shingles")
     free_shuffles(spark)
 
-    blocks = shared_table(_blocks(members), "blocks")
+    blocks = shared_table(compact(_blocks(members)), "blocks")
     common = F.least("m", "c_m")
     possible = (F.col("comp") != F.col("c_comp")) & (100 * common >= percent * (F.col("n") + F.col("c_n") - common))
     as_other = lambda df: df.select("bucket", *(F.col(x).alias(f"c_{x}") for x in ("id", "comp", "n", "m")))
@@ -350,7 +350,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
         pairs = per.select(*pair).distinct()
         if k == 1:
             pairs = pairs.unionByName(sharing).distinct()
-        pairs = shared_table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = shared_table(compact(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")), "pairs")
         found = shared_table(_linked(pairs, sets, blocks, percent), "links")
         free_shuffles(spark)
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -360,15 +360,15 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
         if now.isEmpty():
             break
         if k == 0:
-            sets = shared_table(sets.join(now.select("id").distinct().hint("merge"), "id", "left_semi"), "shingles")
+            sets = shared_table(compact(sets.join(now.select("id").distinct().hint("merge"), "id", "left_semi")), "shingles")
             now, sharing = _rare(now, sets, percent)
-            now = shared_table(now, "members")
+            now = shared_table(compact(now), "members")
         free_shuffles(spark)
     else:
         # of two members in different components, one at least isn't in its bucket's largest
         sizes = labels.groupBy("comp").agg(F.count("*").alias("size")) if labels is not None else now.select("comp", F.lit(1).alias("size")).limit(0)
         largest = now.select("bucket", "comp").distinct().join(sizes, "comp", "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("size", F.lit(1)).alias("size"), "comp")).alias("t"))
-        now = shared_table(now.join(largest.select("bucket", F.col("t.comp").alias("top"), F.col("t.size").alias("size")), "bucket"), "members")
+        now = shared_table(compact(now.join(largest.select("bucket", F.col("t.comp").alias("top"), F.col("t.size").alias("size")), "bucket")), "members")
         small = now.where((F.col("comp") != F.col("top")) | (F.col("size") < large)).select("bucket", "id", "n", "m", "comp")
         full = small.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") > few).select("bucket")
         links = _within(small.join(full, "bucket", "left_semi").select("bucket", "id", "comp"), sets, percent)
@@ -382,7 +382,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
             labels = _relabelled(labels, found)
     # rows of one doc_id are one node: the representatives of its sets are linked through it
     twice = held.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    own = shared_table(held.join(twice, "doc_id", "left_semi").join(first, ["s1", "s2"]).where("n_shingles > 0 and doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct(), "links")
+    own = held.join(twice, "doc_id", "left_semi").join(first, ["s1", "s2"]).where("n_shingles > 0 and doc_id <> id")
+    own = shared_table(compact(own.select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct()), "links")
     if not own.isEmpty():
         labels = _relabelled(labels, own)
     drop_since(spark, since, held, first, *([labels] if labels is not None else []))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, utf8_values
+from .common import compact, drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, utf8_values
 from .minhash import mix
 
 WIDTH, K = 100, 32
@@ -340,7 +340,7 @@ def repeats(docs: DataFrame, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
             spans = spans.unionByName(shared_table(then(_with_places(docs, settled.where(F.col("kind") == kind))), "spans"))
             free_shuffles(spark)
     packed = (F.col("start") * (1 << 32) + F.col("size")).alias("span")
-    out = shared_table(spans.select("doc", packed).groupBy("doc").agg(F.collect_list("span").alias("spans")), "repeats")
+    out = shared_table(compact(spans.select("doc", packed).groupBy("doc").agg(F.collect_list("span").alias("spans"))), "repeats")
     free_shuffles(spark)
     drop_since(spark, since, out)
     return out
