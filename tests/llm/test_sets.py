@@ -17,13 +17,13 @@ from treeglyph.llm.queries import vocabulary  # noqa: E402
 WORDS = vocabulary("word_bpe_49k.json")
 
 
-MORE = {"spans": "string", "drops": "int", "n_chars": "long", "id": "string"}
+MORE = {"spans": "string", "drops": "int", "n_chars": "long", "id": "string", "__key": "string", "__drops": "string", "__DOC": "string", "__spans": "string"}
 NAMES = ["doc_id", "text", *MORE]
 
 
 def docs_of(spark, rows):
     """With columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, "a", 0, i, None) for i, t in rows], f"doc_id long, text string, {', '.join(f'{c} {k}' for c, k in MORE.items())}")
+    return spark.createDataFrame([(i, t, "a", 0, i, None, "k", "d", "D", "s") for i, t in rows], f"doc_id long, text string, {', '.join(f'{c} {k}' for c, k in MORE.items())}")
 
 
 # --- perfect hash
@@ -87,6 +87,18 @@ def test_line_dedup(spark, monkeypatch, hot):
         assert r["text"] in old or r["n_chars"] == len(r["text"])
 
 
+def test_line_sql_says_the_same_of_any_rows():
+    import duckdb
+    import pandas as pd
+
+    rows = [*line_rows(), (1, "Held by one id in many rows"), (1, "held by one id in many rows"), (2, "held by one id in many rows ")]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    got = con.sql(linededup.LINE_SQL).fetchall()
+    assert sorted(((i, n, k, sha) for i, n, k, sha in got), key=str) == brute_lines(rows)
+
+
 def test_line_dedup_of_nothing(spark):
     assert linededup.line_dedup_digests(docs_of(spark, []).limit(0)).count() == 0
 
@@ -197,6 +209,17 @@ def test_near_duplicates(spark, monkeypatch, words, large, few, block):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("rounds,large", [(0, 64), (1, 64), (1, 1), (3, 64)])
+def test_any_number_of_rounds_finds_the_same(spark, monkeypatch, rounds, large):
+    monkeypatch.setattr(minhash, "BLOCK_ITEMS", 700)  # a few sets; one of the very long ones by itself is larger
+    rows = near_rows()
+    r = random.Random(13)
+    long = [f"w{r.randrange(10**6)}" for _ in range(20_000)]
+    rows += [(500 + i, " ".join(long[: 20_000 - 900 * i])) for i in range(5)]
+    got = minhash.near_duplicates(docs_of(spark, rows), words=2, rounds=rounds, large=large).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_near(rows, 2, 80)
+
+
 def test_keep_first_and_odd_tables(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (None, "a b c d e f g"), (3, None), (3, "x y")]
     kept = minhash.keep_first(docs_of(spark, rows))
@@ -249,10 +272,10 @@ def test_components(spark):
 
 
 def brute_suffix(rows, width=100):
-    ids = [i for i, _ in rows]
+    """Rows of one doc_id are documents in the order of their texts."""
     seen, out = set(), []
-    for i, t in sorted((x for x in rows if x[0] is not None and ids.count(x[0]) == 1)):
-        b = (t or "").encode()
+    for i, t in sorted((i, t or "") for i, t in rows if i is not None):
+        b = t.encode()
         gone = np.zeros(len(b), bool)
         for p in range(len(b) - width + 1):
             w = b[p : p + width]
@@ -260,7 +283,7 @@ def brute_suffix(rows, width=100):
                 gone[p : p + width] = True
             seen.add(w)
         out.append((i, b, gone))
-    out += [(i, (t or "").encode(), np.zeros(len((t or "").encode()), bool)) for i, t in rows if i is None or ids.count(i) > 1]
+    out += [(i, (t or "").encode(), np.zeros(len((t or "").encode()), bool)) for i, t in rows if i is None]
     row = lambda b, g: (len(b), int(g.sum()), int((g[1:] & ~g[:-1]).sum() + (g[0] if len(g) else 0)), hashlib.sha256(np.frombuffer(b, np.uint8)[~g].tobytes()).hexdigest())
     return sorted(((i, *row(b, g)) for i, b, g in out), key=str)
 
@@ -276,7 +299,7 @@ def suffix_rows():
             a = r.randrange(len(p) - 130)
             parts += [p[a : a + r.choice([40, 80, 99, 100, 101, 130, 300])], "".join(r.choices("xyz ", k=r.randint(0, 150)))]
         rows.append((i, "".join(parts)))
-    return [*rows, (100, None), (101, ""), (102, "q" * 99), (103, "q" * 100), (104, "q" * 5000), (105, "ab" * 400), (106, "\0" * 300), (107, "q" * 99 + "\0" * 200), (108, passage[0]), (109, passage[0]), (110, passage[1]), (110, passage[1] + "!"), (None, passage[2])]
+    return [*rows, (100, None), (101, ""), (102, "q" * 99), (103, "q" * 100), (104, "q" * 5000), (105, "ab" * 400), (106, "\0" * 300), (107, "q" * 99 + "\0" * 200), (108, passage[0]), (109, passage[0]), (110, passage[1]), (110, passage[1] + "!"), (None, passage[2]), (3, passage[3]), (3, None), (109, passage[0]), (111, passage[1][20:])]
 
 
 @pytest.mark.parametrize("wide,block", [(suffixes.WIDE, suffixes.BLOCK), (0, 40), (4, 40)])

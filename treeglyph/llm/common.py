@@ -79,6 +79,14 @@ def drop_since(spark: SparkSession, since: int, *keep: DataFrame) -> None:
     _made.paths[since:] = [p for p in _made.paths[since:] if p in kept]
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like that one which the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced."""
     gc.collect()

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, compact, drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, utf8_values
+from .common import SPACE, compact, drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, unused, utf8_values
 from .perfect import Shard
 
 MIN_CHARS, MIN_DOCS, SHARD_KEYS, HOT = 20, 3, 200_000, 1024
@@ -154,8 +154,9 @@ def thinned(text: bytes, doc: int | None, drops: set[bytes], hot: Shard, min_cha
 
 def _thin(docs: DataFrame, columns: list[str], schema: str, emit: Callable, min_chars: int, min_docs: int) -> DataFrame:
     drops, hot = drops_of(docs, min_chars, min_docs)
-    key = F.col("doc_id").cast("long")
-    joined = docs.select(*columns).withColumn("__key", key).join(drops.toDF("__key", "__drops").hint("merge"), "__key", "left").select("__key", "__drops", *columns)
+    key, gone = unused("__key", docs), unused("__drops", docs)
+    keyed = docs.select(F.col("doc_id").cast("long").alias(key), *columns)
+    joined = keyed.join(drops.toDF(key, gone).hint("merge"), key, "left").select(key, gone, *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,15 +196,16 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
 
 LINE_SQL = r"""
-with l as (
-  select doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
-  from (select doc_id, unnest(x) as line, generate_subscripts(x, 1) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents))
-), r as (
-  select k, max(doc_id) as last from l where length(k) >= 20 group by k having count(distinct doc_id) >= 3
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents
+), l as (
+  select r, doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from (select r, doc_id, unnest(x) as line, generate_subscripts(x, 1) as i from (select r, doc_id, string_split(text, chr(10)) as x from d))
+), f as (
+  select k, max(doc_id) as last from l where length(k) >= 20 and doc_id is not null group by k having count(distinct r) >= 3
 ), m as (
-  select l.*, r.k is not null and r.last <> l.doc_id as dropped from l left join r on l.k = r.k
+  select l.*, f.k is not null and l.doc_id is not null and f.last <> l.doc_id as dropped from l left join f on l.k = f.k
 )
 select doc_id, count(*)::bigint as n_lines, count(*) filter (where dropped)::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not dropped), '')) as kept_sha256
-from m group by doc_id
+from m group by r, doc_id
 """

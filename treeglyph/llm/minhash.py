@@ -24,13 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import compact, drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, utf8_values
+from .common import compact, drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, unused, utf8_values
 from .components import components
 
-ROWS, BANDS, ROUNDS, RARE, LARGE, FEW, BLOCK = 6, 48, 2, 16, 64, 16, 256
+ROWS, BANDS, ROUNDS, RARE, LARGE, FEW = 6, 48, 2, 16, 64, 16
+#: A block holds so many sets or so, or so many shingles of them, whichever comes first.
+BLOCK, BLOCK_ITEMS = 256, 1 << 19
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -133,11 +135,16 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return map_arrow(docs, run, "id long, items binary")
 
 
+def _n_blocks(n: str = "n") -> Column:
+    """Of a group of sets, with ``n`` shingles each: how many blocks they take."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(n) / BLOCK_ITEMS))
+
+
 def _blocks(members: DataFrame) -> DataFrame:
-    """id and block: members of one large bucket are in one block, or in several of BLOCK members or so."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("k"))
-    home = members.join(sizes, "bucket").groupBy("id").agg(F.max(F.struct("k", "bucket")).alias("h"))
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("h.k") / BLOCK))
+    """id and block: members of one large bucket are in one block, or in several."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("k"), _n_blocks().alias("blocks"))
+    home = members.join(sizes, "bucket").groupBy("id").agg(F.max(F.struct("k", "bucket", "blocks")).alias("h"))
+    part = F.pmod(F.xxhash64("id"), F.col("h.blocks"))
     return home.select("id", F.xxhash64("h.bucket", part).alias("block"))
 
 
@@ -199,9 +206,9 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _against(probes: DataFrame, targets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of probes (id, comp: another component) with members (id, comp) of that component, at least one for each probe that has any. Members are dealt
-    to blocks of BLOCK sets at most or so, and each probe goes to all blocks of its component; a block is held as one inverted index."""
-    size = targets.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    """Links (a, b) of probes (id, comp: another component) with members (id, n, comp) of that component, at least one for each probe that has any. Members are
+    dealt to blocks, and each probe goes to all blocks of its component; a block is held as one inverted index."""
+    size = targets.groupBy("comp").agg(_n_blocks().alias("blocks"))
     of = sets.select("id", "items")
     y = targets.join(size, "comp").select("comp", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(0).alias("side"), "id").join(of, "id")
     x = probes.join(of, "id").join(size, "comp").select("id", "comp", "items", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
@@ -241,9 +248,9 @@ def _against(probes: DataFrame, targets: DataFrame, sets: DataFrame, percent: in
 
 
 def _within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members (bucket, id, comp) of the same bucket that are in different components: for each member one, at least, to each component that it
-    has any to. A bucket is dealt to blocks of BLOCK sets or so; a member is held in its own block and probes that and those after it."""
-    size = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    """Links (a, b) between members (bucket, id, n, comp) of the same bucket that are in different components: for each member one, at least, to each component that it
+    has any to. A bucket is dealt to blocks; a member is held in its own block and probes that and those after it."""
+    size = members.groupBy("bucket").agg(_n_blocks().alias("blocks"))
     dealt = members.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).join(sets.select("id", "items").hint("merge"), "id")
     names = ("bucket", "block", "side", "id", "comp", "items")
     held = dealt.withColumn("side", F.lit(0)).select(*names)
@@ -340,7 +347,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
     possible = (F.col("comp") != F.col("c_comp")) & (100 * common >= percent * (F.col("n") + F.col("c_n") - common))
     as_other = lambda df: df.select("bucket", *(F.col(x).alias(f"c_{x}") for x in ("id", "comp", "n", "m")))
     pair = (F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b"))
-    labels, tested, now = None, None, members
+    labels, tested, sharing, now = None, None, None, members
     for k in range(rounds):
         order = F.struct((F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))).alias("o"), "id", "comp", "n", "m")
         centre = now.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("id", "comp", "n", "m")))
@@ -348,8 +355,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
         per = now.join(centre, "bucket").where(possible).withColumn("g", F.col("c_comp") if k else F.lit(0)).groupBy("id", "g", "c_id").agg(F.count("*").alias("k"))
         per = per.groupBy("id", "g").agg(F.max_by("c_id", F.struct("k", -F.col("c_id"))).alias("c_id"))
         pairs = per.select(*pair).distinct()
-        if k == 1:
-            pairs = pairs.unionByName(sharing).distinct()
+        if sharing is not None:
+            pairs, sharing = pairs.unionByName(sharing).distinct(), None
         pairs = shared_table(compact(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")), "pairs")
         found = shared_table(_linked(pairs, sets, blocks, percent), "links")
         free_shuffles(spark)
@@ -371,12 +378,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
         now = shared_table(compact(now.join(largest.select("bucket", F.col("t.comp").alias("top"), F.col("t.size").alias("size")), "bucket")), "members")
         small = now.where((F.col("comp") != F.col("top")) | (F.col("size") < large)).select("bucket", "id", "n", "m", "comp")
         full = small.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") > few).select("bucket")
-        links = _within(small.join(full, "bucket", "left_semi").select("bucket", "id", "comp"), sets, percent)
+        links = _within(small.join(full, "bucket", "left_semi").select("bucket", "id", "n", "comp"), sets, percent)
         small = small.join(full, "bucket", "left_anti")
         pairs = small.join(as_other(small), "bucket").where(possible & (F.col("id") < F.col("c_id"))).select(*pair).distinct()
-        found = _linked(pairs.join(tested, ["a", "b"], "left_anti"), sets, blocks, percent)
+        if sharing is not None:
+            pairs = pairs.unionByName(sharing).distinct()
+        found = _linked(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), sets, blocks, percent)
         probes = now.where((F.col("comp") != F.col("top")) & (F.col("size") >= large)).select("id", F.col("top").alias("comp")).distinct()
-        targets = now.select("id", "comp").distinct().join(probes.select("comp").distinct(), "comp", "left_semi")
+        targets = now.select("id", "n", "comp").distinct().join(probes.select("comp").distinct(), "comp", "left_semi")
         found = shared_table(found.unionByName(links).unionByName(_against(probes, targets, sets, percent)), "links")
         if not found.isEmpty():
             labels = _relabelled(labels, found)
@@ -395,7 +404,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
 
 def keep_first(docs: DataFrame, **parameters: int) -> DataFrame:
     """The documents, with their columns, that are the first of their class."""
-    verdict = near_duplicates(docs, **parameters).where("kept and doc_id is not null").select(F.col("doc_id").alias("__key")).distinct()
+    key = unused("__key", docs)
+    verdict = near_duplicates(docs, **parameters).where("kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
     lost = F.col("doc_id").isNull()
-    kept = docs.where(~lost).withColumn("__key", F.col("doc_id").cast("long")).join(verdict.hint("merge"), "__key", "left_semi").select(*docs.columns)
+    kept = docs.where(~lost).withColumn(key, F.col("doc_id").cast("long")).join(verdict.hint("merge"), key, "left_semi").select(*docs.columns)
     return kept.unionByName(docs.where(lost))

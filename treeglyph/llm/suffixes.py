@@ -15,8 +15,9 @@ windows that sample it, has a hull: the bytes that these windows cover.
 
 Memory is bounded by a block, except for what a single document needs. No text is kept or shuffled but in two joins by doc_id.
 
-Null and short texts lose nothing; an empty table gives an empty result; rows without a doc_id, and rows whose doc_id isn't unique, are neither compared nor changed;
-other columns stay as they are.
+Null and short texts lose nothing; an empty table gives an empty result; rows without a doc_id are neither compared nor changed; other columns stay as they
+are. Rows with the same doc_id are documents in the order of their texts (equal ones in any order, so all but one lose what they share); only where
+there are such rows is the table sorted and written anew, with numbers in that order.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, utf8_values
+from .common import compact, drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, unused, utf8_values
 from .minhash import mix
 
 WIDTH, K = 100, 32
@@ -324,13 +325,21 @@ def sort_wide(held: DataFrame) -> DataFrame:
     return map_arrow(map_arrow(held, windows, "w1 long, w2 long, doc long, start long").repartition("w1").sortWithinPartitions("w1", "w2", "doc", "start"), again, "doc long, start long, size long")
 
 
-def repeats(docs: DataFrame, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
-    """doc and spans array<long> (start * 2^32 + length) of documents that lose bytes."""
+def ordered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The table and its column of numbers by which documents are in order: doc_id where that is unique; null where there is none."""
+    name, own = unused("__doc", docs), F.col("doc_id").cast("long")
+    twice = docs.where("doc_id is not null").groupBy(own).count().where("count > 1")
+    if twice.isEmpty():
+        return docs.withColumn(name, own), name
+    number = F.monotonically_increasing_id()  # the last of the keys splits what is equal among tasks
+    rows = docs.orderBy(own, F.col("text").cast("string"), number).withColumn(name, F.when(F.col("doc_id").isNotNull(), number))
+    return shared_table(rows, "ordered"), name
+
+
+def repeats(docs: DataFrame, wide: int = WIDE, block: int = BLOCK, doc: str = "doc_id") -> DataFrame:
+    """doc and spans array<long> (start * 2^32 + length) of documents that lose bytes. ``doc``: the column that tells them apart and orders them."""
     spark, since = docs.sparkSession, tables_so_far()
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    twice = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if not twice.isEmpty():
-        docs = docs.join(twice, "doc_id", "left_anti")
+    docs = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     settled = shared_table(settle(places(docs), wide), "settled")
     free_shuffles(spark)
     spans = settled.where("kind = 0").select("doc", "start", "size")
@@ -355,9 +364,12 @@ def lost(size: int, spans: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _joined(docs: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    keyed = docs.select(*columns).withColumn("__key", F.col("doc_id").cast("long"))
-    return keyed.join(found.toDF("__key", "__spans").hint("merge"), "__key", "left").select("__spans", *columns)
+def _with_spans(docs: DataFrame, columns: list[str], wide: int, block: int) -> DataFrame:
+    """The spans that a document loses, or null, and its columns."""
+    docs, doc = ordered(docs)
+    spans = unused("__spans", docs)
+    found = repeats(docs, wide, block, doc).toDF(doc, spans)
+    return docs.select(doc, *columns).join(found.hint("merge"), doc, "left").select(spans, *columns)
 
 
 def _each(b: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray | None]]:
@@ -384,7 +396,7 @@ def suffix_dedup_digests(docs: DataFrame, wide: int = WIDE, block: int = BLOCK)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(_joined(docs, repeats(docs, wide, block), ["doc_id", "text"]), run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(_with_spans(docs, ["doc_id", "text"], wide, block), run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def suffix_dedup(docs: DataFrame, wide: int = WIDE, block: int = BLOCK) -> DataFrame:
@@ -407,4 +419,4 @@ def suffix_dedup(docs: DataFrame, wide: int = WIDE, block: int = BLOCK) -> DataF
             new = {"text": pa.array(texts, old.type)} | ({"n_chars": pa.array(sizes, b.column("n_chars").type)} if sizes is not None else {})
             yield pa.RecordBatch.from_arrays([new.get(n, b.column(n)) for n in names], names=names)
 
-    return map_arrow(_joined(docs, repeats(docs, wide, block), names), run, docs.schema)
+    return map_arrow(_with_spans(docs, names, wide, block), run, docs.schema)
