@@ -5,7 +5,8 @@ as they are. The mask has a character for each one of the rendering: 1 on what t
 
 Turns are ordered by number, speaker and text, so ties and repeated rows have a fixed place; null numbers come first; a null text is
 empty; a null speaker is the participant "unknown"; rows without a conversation belong to one of their own, with a null id. A dialogue without
-participants gives no rows. A rendering is one value, so a dialogue has to fit into a row; turns are gathered by dialogue, the
+participants gives no rows, and an empty table none. What opens a marker in a text or a name (``<|``) is rendered as ``< |``, and a name's line breaks as blanks, so no text
+can pass for a turn. A rendering is one value, so a dialogue has to fit into a row; turns are gathered by dialogue, the
 participants come from the gathered turns, and no other shuffle is needed.
 """
 
@@ -15,15 +16,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+MARK, SHOWN = "<|", "< |"
 UNKNOWN = "unknown"
 
 
+def _plain(c: Column) -> Column:
+    return F.replace(c, F.lit(MARK), F.lit(SHOWN))
+
+
 def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", passive: tuple[str, ...] = ("system",)) -> DataFrame:
     """conv_col, speaker, n_turns, n_own, rendered and mask: a row for each dialogue and participant."""
     turn = F.struct(
         F.col(turn_col).alias("turn"),
         F.coalesce(F.col(speaker_col), F.lit(UNKNOWN)).alias("speaker"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        _plain(F.coalesce(F.col(text_col), F.lit(""))).alias("text"),
     )
     talks = turns.groupBy(F.col(conv_col)).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     active = F.array_distinct(F.transform(F.filter("turns", lambda t: ~t["speaker"].isin(*passive)), lambda t: t["speaker"]))
@@ -31,7 +37,7 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
     me = F.col("speaker")
 
     def head(t: Column) -> Column:
-        role = F.when(t["speaker"] == me, F.lit("assistant")).when(t["speaker"].isin(*passive), t["speaker"]).otherwise(F.concat(F.lit("user name="), t["speaker"]))
+        role = F.when(t["speaker"] == me, F.lit("assistant")).when(t["speaker"].isin(*passive), t["speaker"]).otherwise(F.concat(F.lit("user name="), _plain(F.translate(t["speaker"], "\r\n", "  "))))
         return F.concat(F.lit(START), role, F.lit("\n"))
 
     def mask(t: Column) -> Column:
@@ -58,12 +64,12 @@ def rotation_digests(turns: DataFrame) -> DataFrame:
 
 ROTATION_SQL = """
 with t as (
-  select conv_id, turn, coalesce(role, 'unknown') as who, coalesce(text, '') as said from conversations
+  select conv_id, turn, coalesce(role, 'unknown') as who, replace(coalesce(text, ''), '<|', '< |') as said from conversations
 ), sides as (
   select distinct conv_id, who as speaker from t where who <> 'system'
 ), lines as (
   select s.conv_id, s.speaker, t.turn, t.who, t.said,
-    '<|im_start|>' || case when t.who = s.speaker then 'assistant' when t.who = 'system' then t.who else 'user name=' || t.who end || chr(10) as head
+    '<|im_start|>' || case when t.who = s.speaker then 'assistant' when t.who = 'system' then t.who else 'user name=' || replace(translate(t.who, chr(13) || chr(10), '  '), '<|', '< |') end || chr(10) as head
   from sides s join t on t.conv_id is not distinct from s.conv_id
 ), whole as (
   select conv_id, speaker, count(*) as n_turns, count(*) filter (who = speaker) as n_own,

@@ -1,18 +1,20 @@
 """WARC archives: a writer with one gzip member per record, and a sequential reader.
 
 The reader inflates a stream piece by piece, one gzip member after the other, frames each record by its Content-Length, and checks block and payload
-digests; it holds one record at a time. The writer cuts an archive when it has reached a size, so archives are bounded however many pages there are.
+digests (MD5, SHA-1, SHA-256, SHA-512, in hex or base 32; others are passed over); it holds one record at a time, of any type and from any writer. The
+writer cuts an archive when it has reached a size, so archives are bounded however many pages there are.
 
 Of pages with equal payloads of at least ``MIN_REVISIT`` bytes that with the smallest id is stored, others are revisit records without
 payload that refer to it. Which these are is found by digests alone: pages are grouped by digest (with partial sums on the map side, so copies
 don't meet in a task), and the payloads are dealt once, by page id.
 
 A null html is an empty payload; a null url gives an empty URI; pages without an id are always stored and refer to nothing; repeated rows of the first
-page are all stored; other columns are ignored; an empty table gives an empty archive table.
+page are all stored; other columns are ignored; an empty table gives an empty archive table. What a record of another writer doesn't say is null.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shared_table, utf8_values
+from .common import BATCH_BYTES, map_arrow, shared_table, utf8_values
 
 MIN_REVISIT = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -35,17 +37,54 @@ class WarcError(ValueError):
     """A record that can't be framed, or whose digest is wrong."""
 
 
+class Headers(dict):
+    """Named fields; names in any case."""
+
+    def __init__(self, pairs: Iterable[tuple[str, str]] = ()):
+        super().__init__((k.lower(), v) for k, v in pairs)
+
+    @classmethod
+    def parse(cls, lines: list[str]) -> Headers:
+        """Lines of name: value; those that begin with a blank go on with the one before."""
+        whole: list[str] = []
+        for x in lines:
+            if x[:1] in (" ", "\t") and whole:
+                whole[-1] += " " + x.strip()
+            else:
+                whole.append(x)
+        return cls((k.strip(), v.strip()) for k, sep, v in (x.partition(":") for x in whole) if sep)
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def __contains__(self, name: object) -> bool:
+        return super().__contains__(str(name).lower())
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return super().get(name.lower(), default)
+
+
 @dataclass
 class Record:
-    headers: dict[str, str]
+    headers: Headers
     block: bytes
 
     @property
-    def http(self) -> tuple[dict[str, str], bytes]:
-        """HTTP headers (lower-case names) and body of the block."""
+    def type(self) -> str:
+        return (self.headers.get("WARC-Type") or "").lower()
+
+    @property
+    def http(self) -> tuple[Headers, bytes]:
+        """HTTP headers and body of the block."""
         head, _, body = self.block.partition(b"\r\n\r\n")
-        pairs = (x.split(":", 1) for x in head.decode("utf-8").split("\r\n")[1:] if ":" in x)
-        return {k.strip().lower(): v.strip() for k, v in pairs}, body
+        return Headers.parse(head.decode("latin-1").split("\r\n")[1:]), body
+
+    @property
+    def payload(self) -> bytes | None:
+        """The body of an HTTP message, else the block; None where the record has none of its own."""
+        if self.type in ("revisit", "continuation", "warcinfo"):
+            return None
+        return self.http[1] if (self.headers.get("Content-Type") or "").lower().startswith("application/http") else self.block
 
 
 def _clean(value: str) -> str:
@@ -90,10 +129,10 @@ def read_members(pieces: Iterable[bytes]) -> Iterator[bytes]:
 def read_records(pieces: Iterable[bytes], verify: bool = True) -> Iterator[Record]:
     for data in read_members(pieces):
         head, sep, rest = data.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8").split("\r\n")
+        lines = head.decode("utf-8", "replace").split("\r\n")
         if not sep or not lines[0].startswith("WARC/"):
             raise WarcError("no WARC header")
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        headers = Headers.parse(lines[1:])
         try:
             n = int(headers["Content-Length"])
         except (KeyError, ValueError) as e:
@@ -106,10 +145,52 @@ def read_records(pieces: Iterable[bytes], verify: bool = True) -> Iterator[Recor
         yield record
 
 
+def _digest(value: str) -> tuple[str, bytes] | None:
+    """Algorithm and digest of a labelled one (sha1:BASE32, sha256:hex ...); None where the algorithm isn't known, or the value can't be one of its digests."""
+    name, _, text = value.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    size, text = hashlib.new(name).digest_size, text.strip()
+    try:
+        if len(text) == 2 * size:
+            return name, bytes.fromhex(text)
+        raw = base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except ValueError:
+        return name, b""
+    return name, raw if len(raw) == size else b""
+
+
+def _same(value: str | None, data: bytes) -> bool:
+    got = _digest(value) if value else None
+    return got is None or hashlib.new(got[0], data).digest() == got[1]
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    """What a body in chunks carries; None if it isn't in chunks."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return None
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        if body[end + 2 + n : end + 4 + n] != b"\r\n":
+            return None
+        at = end + 4 + n
+    return None
+
+
 def _verify(r: Record) -> None:
-    if (d := r.headers.get("WARC-Block-Digest")) and d != f"sha256:{hashlib.sha256(r.block).hexdigest()}":
+    if not _same(r.headers.get("WARC-Block-Digest"), r.block):
         raise WarcError("block digest differs")
-    if r.headers.get("WARC-Type") == "response" and (d := r.headers.get("WARC-Payload-Digest")) and d != f"sha256:{hashlib.sha256(r.http[1]).hexdigest()}":
+    said, payload = r.headers.get("WARC-Payload-Digest"), r.payload
+    if payload is None or "WARC-Truncated" in r.headers or "WARC-Segment-Number" in r.headers or _same(said, payload):
+        return
+    plain = _unchunked(payload)  # some writers digest what the chunks carry
+    if plain is None or not _same(said, plain):
         raise WarcError("payload digest differs")
 
 
@@ -149,28 +230,39 @@ def write_warc(pages: DataFrame, archive_bytes: int = 8 << 20) -> DataFrame:
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
-    """A row per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in revisits)."""
+    """A row per record of any type: page_id and refers_to (of this writer's records), url, payload_bytes, payload_digest (SHA-256 in hex; what a revisit says of
+    its own if it is another one), record_type, payload (null where the record has none), and the ids as they are: record_id, refers_to_id."""
 
     def page(value: str | None) -> int | None:
-        digits = (value or "").removeprefix(f"<{_ID}").removesuffix(">")
-        return int(digits) if digits else None
+        m = re.fullmatch(rf"<?{_ID}(-?\d{{1,19}})>?", value or "")
+        return int(m[1]) if m and -(1 << 63) <= int(m[1]) < 1 << 63 else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
+    def row(r: Record) -> tuple:
+        h, payload = r.headers, r.payload
+        if payload is None:
+            got, said = _digest(h.get("WARC-Payload-Digest") or ""), r.http[0].get("Content-Length") or ""
+            digest = got[1].hex() if got and got[0] == "sha256" else h.get("WARC-Payload-Digest")
+            size = int(said) if r.type == "revisit" and re.fullmatch(r"\d{1,18}", said) else None
+        else:
+            digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
+        url = h.get("WARC-Target-URI")
+        return page(h.get("WARC-Record-ID")), url if url is None else url.removeprefix("<").removesuffix(">"), size, digest, r.type or None, page(h.get("WARC-Refers-To")), payload, h.get("WARC-Record-ID"), h.get("WARC-Refers-To")
 
-        def pack(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], schema=pa.schema(kinds))
+    kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("record_id", pa.string()), ("refers_to_id", pa.string())]
 
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], schema=pa.schema(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for archive in b.column(0):
-                rows = []
-                for r in read_records(pieces_of(archive.as_py())):
-                    http, body = r.http
-                    h, stored = r.headers, r.headers["WARC-Type"] == "response"
-                    rows.append((page(h["WARC-Record-ID"]), h["WARC-Target-URI"], int(http["content-length"]), h["WARC-Payload-Digest"].removeprefix("sha256:"), h["WARC-Type"], page(h.get("WARC-Refers-To")), body if stored else None))
-                    if len(rows) == 512:
+                rows, size = [], 0
+                for r in read_records(pieces_of(archive.as_py() or b"")):
+                    rows.append(row(r))
+                    size += len(rows[-1][6] or b"")
+                    if len(rows) == 512 or size > BATCH_BYTES:
                         yield pack(rows)
-                        rows = []
+                        rows, size = [], 0
                 yield pack(rows)
 
-    return map_arrow(archives.select("archive"), run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return map_arrow(archives.select("archive"), run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string, refers_to_id string")
