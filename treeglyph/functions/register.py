@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +27,12 @@ class Windows:
     """A row for each window of distinct values of a series."""
 
     def eval(self, x: list[float], shortest: int, longest: int) -> Iterator[tuple[int, int, str]]:
-        values = pd.Series(x, dtype="float64") + 0.0
-        for st in range(len(values)):
-            window = values[st : st + longest].to_numpy()
-            code = kernels.stack_distances(window).tolist()
-            seen: set[float] = set()
-            for m, v in enumerate(window.tolist(), 1):
-                if v in seen:
-                    break
-                seen.add(v)
-                if m >= shortest:
-                    yield st, m, ",".join("0" if d == kernels.INF else str(d) for d in code[:m])
+        values = np.asarray(x, np.float64) + 0.0
+        ends = np.array([0, len(values)])
+        dist, distinct = kernels.distances_of(ends, values), kernels.distinct_of(ends, values).tolist()
+        for st, room in enumerate(distinct):
+            most = min(room, longest)
+            step = dist[st : st + most]
+            code = list(map(str, np.where(step <= np.arange(most), step, 0).tolist()))
+            for m in range(shortest, most + 1):
+                yield st, m, ",".join(code[:m])

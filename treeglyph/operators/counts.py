@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codes import code_text, parent_distance, scratch_code, window_code
-from ..functions.kernels import CountSpec, window_counts
+from ..functions.codes import code_array, code_text, parent_distance, scratch_code, window_code
+from ..functions.kernels import CountSpec, GrowSpec, code_ids, grown_counts, prefix_hashes, window_counts
 
 SHORTEST, LONGEST = 2, 1_000_000
+#: Patterns that may qualify, or be looked up, at a time; more are an error. What goes along to tasks, 16 bytes a pattern, is bounded by this.
+CAP = 2_000_000
 
 
 def lengths_of(lengths: Iterable[int]) -> tuple[int, ...]:
@@ -25,12 +28,55 @@ def series_counts(series: DataFrame, lengths: Iterable[int], ties: str = "strict
     """series_id, length, code, bin, cnt. Windows are counted where the series are; what is shuffled is a row per series and code, summed up before."""
     if ties not in ("strict", "native") or bins < 1 or not 0 <= decay <= 100:
         raise ValueError("ties are strict or native, bins at least 1, decay 0 to 100")
-    each = window_counts(series, CountSpec(lengths_of(lengths), ties, bins, float(decay)))
+    spec = CountSpec(lengths_of(lengths), ties, bins, float(decay))
     if wanted is not None:
-        each = each.join(wanted.select("code").distinct(), "code", "left_semi")
+        codes = codes_of(wanted, spec.lengths)
+        if bins == 1 and not decay:
+            return lookup(series, codes, ties).select("series_id", "length", "code", F.lit(0).alias("bin"), "cnt")
+        wanted = series.sparkSession.createDataFrame([(c,) for c in codes], "code string")
+    each = window_counts(series, spec)
+    if wanted is not None:
+        each = each.join(wanted, "code", "left_semi")
     return each.groupBy("series_id", "length", "code", "bin").agg(F.sum("cnt").alias("cnt"))
 
 
+def codes_of(wanted: DataFrame, lengths: Iterable[int] | None = None, cap: int = CAP) -> list[str]:
+    """The distinct codes of a table of patterns, of the given lengths."""
+    codes = wanted.select("code").distinct()
+    if lengths is not None:
+        codes = codes.where(F.size(code_array(F.col("code"))).isin(*lengths))
+    rows = codes.limit(cap + 1).collect()
+    if len(rows) > cap:
+        raise ValueError(f"more than {cap} patterns to look up")
+    return [r["code"] for r in rows]
+
+
+def lookup(series: DataFrame, codes: list[str], ties: str = "strict") -> DataFrame:
+    """series_id, length, code, cnt of given codes. Windows only grow while they begin one of them."""
+    names = series.sparkSession.createDataFrame(code_ids(codes), "code string, length int, h1 long, h2 long")
+    lengths = tuple(sorted({c.count(",") + 1 for c in codes})) or (SHORTEST,)
+    among = prefix_hashes(codes) if codes else {SHORTEST: np.empty(0, np.uint64)}
+    each = grown_counts(series, GrowSpec(lengths, ties, tuple(among.items()))).drop("code")
+    return each.join(names, ["length", "h1", "h2"]).groupBy("series_id", "length", "code").agg(F.sum("cnt").alias("cnt"))
+
+
+def qualifying(series: DataFrame, lengths: Iterable[int], minsup: float, ties: str = "strict", among: Mapping[int, np.ndarray] | None = None) -> DataFrame:
+    """length, h1, h2 of the codes that some series has ``minsup`` times. A window of a whole series only grows while that series has so many of its code: one that
+    qualifies there has no beginning that doesn't. Segments of a series are summed up first."""
+    each = grown_counts(series, GrowSpec(tuple(lengths), ties, tuple((among or {}).items()), minsup)).drop("code")
+    summed = each.where(~F.col("whole")).groupBy("series_id", "length", "h1", "h2").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= minsup)
+    names = ("length", "h1", "h2")
+    return each.where("whole").select(*names).unionByName(summed.select(*names)).distinct()
+
+
+def support_among(series: DataFrame, lengths: Iterable[int], minsup: float, among: Mapping[int, np.ndarray], ties: str = "strict") -> DataFrame:
+    """length, code, support and qualifying of the codes whose first hashes are among those of their length."""
+    each = grown_counts(series, GrowSpec(tuple(lengths), ties, tuple(among.items()), texts=True))
+    per = each.groupBy("series_id", "length", "h1", "h2").agg(F.sum("cnt").alias("cnt"), F.max("code").alias("code"))
+    total = per.groupBy("length", "h1", "h2").agg(F.max("code").alias("code"), F.sum("cnt").alias("support"), F.count_if(F.col("cnt") >= minsup).alias("qualifying"))
+    return total.select("length", "code", "support", "qualifying")
+
+
 def corpus_support(counts: DataFrame, minsup: float = 2.0) -> DataFrame:
     """length, code, support (over all series) and qualifying (series with minsup or more)."""
     return counts.groupBy("length", "code").agg(F.sum("cnt").alias("support"), F.count_if(F.col("cnt") >= minsup).alias("qualifying"))

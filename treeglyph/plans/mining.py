@@ -2,6 +2,11 @@
 
 Support can't grow with length, per series or over all. So lengths are mined in growing rounds until no longer pattern can qualify, or enter the
 best; and with all lengths allowed, the best K are among lengths 2 to K + 1, as each prefix of a pattern is shorter and has no less support.
+
+From the second round on two passes over the series make a round. The first finds what qualifies: a window grows only while its series has ``minsup`` of its code,
+and while its beginnings are patterns of the rounds before that can still lead to the best. The second counts these in all series. Patterns are
+told apart by 128 bits of hashes on the way; the codes themselves leave a task once for each pattern. So time, memory and what is shuffled follow the patterns that
+qualify and not the windows that there are.
 """
 
 from __future__ import annotations
@@ -10,29 +15,40 @@ import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import linear_limits, parent_distance_linear, prefix_hashes
 from ..operators import counts as C
 from ..operators import select as S
 from ..operators.features import matrix
-from ..sources.series import longest_whole, regather
+from ..sources.series import gather, longest_whole, regather
 from .tables import cut
 
-CAP, MAX_CELLS = 2_000_000, 100_000_000
+CAP, MAX_CELLS = C.CAP, 100_000_000
 SLACK = 1 - 1e-12
 KEEP = StorageLevel.MEMORY_AND_DISK
 
 
 @dataclass
 class Mined:
-    """dictionary: rank, code, length, support, qualifying_series. stages: observed, eligible and maximum_support by length. reason: why no longer lengths were mined."""
+    """dictionary: rank, code, length, support, qualifying_series. stages: by length the patterns that were counted (all of the first lengths; later those that can qualify),
+    those that qualify, and the largest support. reason: why no longer lengths were mined."""
 
     dictionary: DataFrame
     stages: DataFrame
     reason: str
-    counts: DataFrame
+    ties: str = "strict"
+    series: DataFrame | None = None
+
+    @property
+    def counts(self) -> DataFrame:
+        """series_id, length, code, cnt of the dictionary's patterns."""
+        if self.series is None:
+            raise ValueError("no series to count in")
+        return C.lookup(self.series, C.codes_of(self.dictionary), self.ties)
 
     def features(self, series: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
         """series_id, rank, cnt: a row for every series and pattern."""
@@ -63,66 +79,110 @@ def wanted_lengths(series: DataFrame, budget: int, lengths: Iterable[int] | None
 
 
 def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[int] | None = None, cap: int = CAP, ties: str = "strict", keep: bool = True) -> Mined:
-    """By rounds of lengths. ``series`` are whole, or segments, which are made anew for rounds whose lengths pass their overlap; with ``keep`` they, and each round's support, stay in
-    memory or on executors' disks between rounds, and are made anew where an executor is lost. The last round isn't cut short, so its test is left out."""
+    """By rounds of lengths. ``series`` are whole, or segments, which are made anew for rounds whose lengths pass their overlap; with ``keep`` they stay in memory or on
+    executors' disks while rounds go on, and are made anew where an executor is lost. More than ``cap`` patterns that qualify are an error, in any mode. With a
+    budget the driver holds the best of the rounds so far: that many rows."""
     if budget < 0 or not math.isfinite(minsup) or minsup <= 0 or cap < 1:
         raise ValueError("invalid budget, minsup or cap")
+    spark, given = series.sparkSession, series
     series = series.persist(KEEP) if keep else series
+    held = [series]
     todo = wanted_lengths(series, budget, lengths)
-    able = stages = found = None
-    reason, top, fits = "all lengths", [], longest_whole(series)
+    found: DataFrame | None = None
+    stages, top, seen = [], [], 0
+    reason, fits = "all lengths", longest_whole(series)
+    among: dict[int, np.ndarray] = {}
     for own in rounds(todo):
         if fits is not None and own[-1] > fits:
             series, fits = regather(series, own[-1]), own[-1]
+            given = series
             series = series.persist(KEEP) if keep else series
-        counts = C.series_counts(series, own, ties)
-        support = C.corpus_support(counts, minsup).persist(KEEP)
-        last = support.where(F.col("length") == own[-1]).agg(F.max("support"), F.count_if(F.col("qualifying") > 0)).first()
-        here = C.eligible(support)
-        able = here if able is None else able.unionByName(here)
-        stages = C.stage_stats(support) if stages is None else stages.unionByName(C.stage_stats(support))
-        found = counts if found is None else found.unionByName(counts)
-        if not last[1]:
+            held.append(series)
+        if own[-1] <= 5:  # few patterns: counted at once
+            support = C.corpus_support(C.series_counts(series, own, ties), minsup)
+        else:
+            ids = C.qualifying(series, own, minsup, ties, among).limit(cap - seen + 1).toArrow()
+            _check(seen + len(ids), cap)
+            length, h1 = ids.column("length").to_numpy(), ids.column("h1").to_numpy().view(np.uint64)
+            support = C.support_among(series, own, minsup, among | {m: np.unique(h1[length == m]) for m in own}, ties)
+        support = support.persist(KEEP)
+        per = {r["length"]: r for r in C.stage_stats(support).collect()}
+        stages += [(m, per[m]["observed"], per[m]["eligible"], per[m]["maximum_support"]) for m in own if m in per]
+        seen += sum(r["eligible"] for r in per.values())
+        _check(seen, cap)
+        able = C.eligible(support)
+        if budget:
+            top = sorted([*top, *(tuple(r) for r in S.best(able, budget).select("code", "length", "support", "qualifying").collect())], key=lambda t: (-t[2], t[1], list(map(int, t[0].split(",")))))[:budget]
+        else:
+            here = cut(able)
+            found = here if found is None else found.unionByName(here)
+        last = per.get(own[-1])
+        full = budget and len(top) >= budget
+        least = top[-1][2] * SLACK if full else 0.0
+        if not last or not last["eligible"]:
             reason = "no pattern of the last length qualifies"
+        elif full and own[-1] != todo[-1] and last["maximum_support"] < least:
+            reason = "no longer pattern can enter"
+        elif own[-1] != todo[-1]:
+            # of a round's last patterns, those that longer ones may begin with
+            codes = able.where((F.col("length") == own[-1]) & (F.col("support") >= least)).select("code").collect()
+            among = prefix_hashes(r["code"] for r in codes)
+        support.unpersist()
+        if reason != "all lengths":
             break
-        if budget and own != todo[-len(own) :]:
-            top = able.orderBy(F.desc("support")).limit(budget).agg(F.count("*"), F.min("support")).first()
-            if top[0] >= budget and last[0] < top[1] * SLACK:
-                reason = "no longer pattern can enter"
-                break
-    if able is None:
+    _drop(held)
+    if not todo:
         raise ValueError("no length fits any series")
-    chosen = S.best(able, budget) if budget else S.capped(able, cap, "patterns")
-    names = S.ranked(chosen).select("rank", "code", "length", "support", F.col("qualifying").alias("qualifying_series"))
-    return Mined(names, stages, reason, found)
-
-
-def mine_levelwise(rows: DataFrame, budget: int, minsup: float = 2.0, longest: int | None = None, exact_stages: bool = False) -> Mined:
-    """Length by length on long-form series (series_id, pos, value, n): a window's code is its number at the length before and one more distance, so a
-    length costs the number of windows. Only windows whose prefix qualifies are extended (unless ``exact_stages``); numbers are lexical ranks."""
-    arrays = rows.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda t: t["value"]).alias("x"))
-    at = cut(C.distances(arrays).join(C.distinct_limits(rows), ["series_id", "pos"]))
-    step = at.select("series_id", F.col("pos").alias("end"), "pd")
-    windows = at.select("series_id", F.col("pos").alias("st"), "lim", F.lit(0).cast("long").alias("id"))
-    names = rows.sparkSession.createDataFrame([(0, "0")], "id long, code string")
+    if budget:
+        rows = [(i, code, length, support, qualifying) for i, (code, length, support, qualifying) in enumerate(top, 1)]
+        names = spark.createDataFrame(rows, "rank int, code string, length int, support double, qualifying_series long")
+    else:
+        names = S.ranked(found).select("rank", "code", "length", "support", F.col("qualifying").alias("qualifying_series"))
+    return Mined(names, spark.createDataFrame(stages, "length int, observed long, eligible long, maximum_support double"), reason, ties, given)
+
+
+def _check(patterns: int, cap: int) -> None:
+    if patterns > cap:
+        raise ValueError(f"more than {cap} patterns")
+
+
+def _drop(held: list[DataFrame]) -> None:
+    for df in held:
+        df.unpersist()
+
+
+def mine_levelwise(rows: DataFrame, budget: int, minsup: float = 2.0, longest: int | None = None, exact_stages: bool = False, cap: int = CAP) -> Mined:
+    """Length by length on long-form series (series_id, pos, value, n), by joins: a window's code is its number at the length before and one more distance, so a
+    length costs the number of windows. Only windows whose prefix qualifies are extended (unless ``exact_stages``). Numbers are ranks of codes among those of their
+    length, in order of number and distance, and so in that of the codes; they are given out on one machine, to ``cap`` patterns at most."""
+    spark = rows.sparkSession
     limit = longest or (budget + 1 if budget else rows.agg(F.max("n")).first()[0] or 0)
-    chosen = stages = found = None
-    reason = "all lengths"
+    if limit < 2:
+        raise ValueError("no length fits any series")
+    series = gather(rows, limit)
+    each = cut(series.select("series_id", "shift", "own", parent_distance_linear("x").alias("pd"), linear_limits(F.col("x")).alias("lim")))
+    starts = each.select("series_id", "shift", F.posexplode(F.slice("lim", F.lit(1), F.col("own").cast("int"))).alias("at", "lim"))
+    windows = starts.select("series_id", (F.col("shift") + F.col("at")).alias("st"), "lim", F.lit(1).alias("id"))
+    # a distance is that of the segment in which all windows that end there begin
+    ends = each.select("series_id", "shift", F.posexplode("pd").alias("at", "pd")).where((F.col("shift") == 0) | (F.col("at") >= limit - 1))
+    step = ends.select("series_id", (F.col("shift") + F.col("at")).alias("end"), "pd")
+    names = spark.createDataFrame([(1, "0")], "id int, code string")
+    chosen = stages = None
+    reason, seen = "all lengths", 0
     for m in range(2, limit + 1):
         live = windows.where(F.col("lim") >= m).withColumn("end", F.col("st") + m - 1).join(step, ["series_id", "end"])
         live = live.select("series_id", "st", "lim", "id", F.when(F.col("pd") < m, F.col("pd")).otherwise(0).alias("next"))
         counts = live.groupBy("id", "next", "series_id").agg(F.count("*").cast("double").alias("cnt"))
         support = counts.groupBy("id", "next").agg(F.sum("cnt").alias("support"), F.count_if(F.col("cnt") >= minsup).alias("qualifying"))
-        support = support.join(names, "id").select("id", "next", "support", "qualifying", F.concat_ws(",", "code", F.col("next").cast("string")).alias("code"), F.lit(m).alias("length"))
-        support = cut(support.withColumn("new", F.xxhash64("code")))
+        support = cut(support.join(names, "id").select("id", "next", "support", "qualifying", F.concat_ws(",", "code", F.col("next").cast("string")).alias("code"), F.lit(m).alias("length")))
         able = C.eligible(support)
         here = able.select("length", "code", "support", "qualifying")
         chosen = here if chosen is None else chosen.unionByName(here)
         stage = C.stage_stats(support)
         stages = stage if stages is None else stages.unionByName(stage)
-        own = counts.join(able.select("id", "next", "code", "length"), ["id", "next"]).select("series_id", "length", "code", "cnt")
-        found = own if found is None else found.unionByName(own)
-        top = support.agg(F.max("support"), F.count_if(F.col("qualifying") > 0)).first()
+        top = support.agg(F.max("support"), F.count_if(F.col("qualifying") > 0), F.count("*")).first()
+        seen += top[1]
+        _check(max(seen, top[2] if exact_stages else 0), cap)
         if not top[1]:
             reason = "no pattern of the last length qualifies"
             break
@@ -132,10 +192,10 @@ def mine_levelwise(rows: DataFrame, budget: int, minsup: float = 2.0, longest: i
             if have[0] >= budget and top[0] < have[1] * SLACK:
                 reason = "no longer pattern can enter"
                 break
-        on = support if exact_stages else able
-        windows = cut(live.join(on.select("id", "next", "new"), ["id", "next"]).select("series_id", "st", "lim", F.col("new").alias("id")))
-        names = on.select(F.col("new").alias("id"), "code")
-    if chosen is None:
-        raise ValueError("no length fits any series")
+        on = (support if exact_stages else able).withColumn("new", F.row_number().over(Window.orderBy("id", "next")))
+        names = cut(on.select(F.col("new").alias("id"), "code", F.col("id").alias("prefix"), "next"))
+        numbers = names.select(F.col("prefix").alias("id"), "next", F.col("id").alias("new"))
+        windows = cut(live.join(numbers, ["id", "next"]).select("series_id", "st", "lim", F.col("new").alias("id")))
+        names = names.select("id", "code")
     out = S.ranked(chosen).select("rank", "code", "length", "support", F.col("qualifying").alias("qualifying_series"))
-    return Mined(out, stages, reason, found)
+    return Mined(out, stages, reason, "strict", series)
