@@ -97,12 +97,13 @@ def decode_tree(code: list[int]) -> tuple[int, list[int], list[int]] | None:
 
 @dataclass(frozen=True)
 class CountSpec:
-    """What to count. ties: "strict" (windows of distinct values only) or "native"."""
+    """What to count. ties: "strict" (windows of distinct values only) or "native"; mass: decay as for windows of one value."""
 
     lengths: tuple[int, ...]
     ties: str = "strict"
     bins: int = 1
     decay: float = 0.0
+    mass: bool = False
 
 
 #: Values that are worked on at a time: what a task holds follows from this and not from what Spark hands over.
@@ -166,7 +167,7 @@ def count_batch(spec: CountSpec, offsets: np.ndarray, values: np.ndarray, shift:
         place = w.pos[w.start] + shift[s]
         which = np.minimum(spec.bins - 1, place * spec.bins // (n[s] - m + 1))
         key, index, inverse = np.unique((s * len(first) + number) * spec.bins + which, return_index=True, return_inverse=True)
-        weight = np.exp(-spec.decay * (n[s] - place - m) / n[s]) if spec.decay else None
+        weight = np.exp(-spec.decay * (n[s] - place - (1 if spec.mass else m)) / n[s]) if spec.decay else None
         yield m, s[index], which[index], np.bincount(inverse, weight, len(key)), number[index], w.texts(w.start[first], m)
 
 

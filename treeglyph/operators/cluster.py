@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .features import scaled, vectors
@@ -21,16 +21,24 @@ def components(cells: DataFrame, k: int) -> DataFrame:
 
 def kmeans(table: DataFrame, k: int, seed: int = 0, restarts: int = 10, rounds: int = 300) -> DataFrame:
     """With ``cluster``: the cheapest of several runs with seeds of their own."""
-    v = table.withColumn("v", array_to_vector("features")).persist()
+    v = table.withColumn("v", array_to_vector("features"))
+    v.persist()
     models = [KMeans(k=k, seed=seed * 1000 + i, maxIter=rounds, tol=1e-4, featuresCol="v", predictionCol="cluster").fit(v) for i in range(restarts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(v).drop("v")
+    out = best.transform(table.withColumn("v", array_to_vector("features"))).drop("v")
+    v.unpersist()
+    return out
 
 
 def feature_status(dim: int, needed: int) -> str:
     return "no_features" if dim == 0 else "insufficient_features" if dim < needed else "ok"
 
 
+def feature_status_of(dim: Column, needed: Column) -> Column:
+    """The same of columns."""
+    return F.when(dim == 0, "no_features").when(dim < needed, "insufficient_features").otherwise("ok")
+
+
 def raw_vectors(series: DataFrame) -> DataFrame:
     """The values of equally long series as features."""
     return series.select("series_id", *(["label"] if "label" in series.columns else []), F.col("x").alias("features"))

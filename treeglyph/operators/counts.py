@@ -138,10 +138,46 @@ def equal_pairs(counts: DataFrame) -> DataFrame:
     return total.withColumn("pairs", F.floor(F.col("windows") * (F.col("windows") - 1) / 2).cast("long"))
 
 
-def pair_links(windows: DataFrame) -> DataFrame:
-    """The pairs themselves, as an equi-join: for small inputs, as their number is quadratic."""
+def pair_links(windows: DataFrame, within: bool = False) -> DataFrame:
+    """The pairs themselves, as an equi-join: for small inputs, as their number is quadratic; ``within``: those of a series only, of which there are at most its length squared."""
     a = windows.select(F.struct("series_id", "st").alias("a"), "length", "code")
-    return a.join(a.withColumnRenamed("a", "b"), ["length", "code"]).where(F.col("a") > F.col("b"))
+    a = a.withColumn("series", F.col("a.series_id") if within else F.lit(0))
+    return a.join(a.withColumnRenamed("a", "b"), ["series", "length", "code"]).where(F.col("a") > F.col("b")).drop("series")
+
+
+def best_of_length(support: DataFrame, length: int, budget: int) -> DataFrame:
+    """The most frequent patterns of one length."""
+    return support.where(F.col("length") == length).orderBy(F.desc("support"), code_array(F.col("code")).asc()).limit(budget)
+
+
+def intervals(support: DataFrame, minsup: float) -> DataFrame:
+    """What mining one series gives in short: a row for each frequent pattern that no longer one with as much support goes on from, with how many of its beginnings have the same
+    support (``lo``: the shortest such length; ``hi``: its own)."""
+    frequent = support.where(F.col("support") >= minsup).select("series_id", "code", "length", "support")
+    longer = frequent.select("series_id", F.regexp_replace("code", ",[0-9]+$", "").alias("code"), "support", F.lit(True).alias("goes_on")).distinct()
+    marked = frequent.join(longer, ["series_id", "code", "support"], "left")
+    ends = marked.where("goes_on is null").drop("goes_on")
+    begins = ends.select("series_id", F.col("code").alias("end"), "support", F.col("length").alias("hi"), F.explode(F.sequence(F.lit(2), F.col("length"))).alias("length"))
+    begins = begins.withColumn("code", F.array_join(F.slice(F.split("end", ","), F.lit(1), F.col("length")), ","))
+    same = begins.join(frequent.select("series_id", "code", "support"), ["series_id", "code", "support"], "left_semi")
+    return same.groupBy("series_id", F.col("end").alias("code"), "support", "hi").agg(F.min("length").alias("lo"))
+
+
+def bin_vectors(counts: DataFrame, bins: int) -> DataFrame:
+    """series_id, length, code and ``values``: the counts of all bins in order."""
+    cells = F.map_from_entries(F.collect_list(F.struct("bin", "cnt")))
+    got = counts.groupBy("series_id", "length", "code").agg(cells.alias("cells"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.element_at("cells", i), F.lit(0.0)))
+    return got.select("series_id", "length", "code", values.alias("values"))
+
+
+def decayed_by_mass(series: DataFrame, lengths: Iterable[int], decay: float) -> DataFrame:
+    """series_id, length, code, cnt: decayed support in closed form. A window's weight at length m is its weight at length 1 times exp(decay (m - 1) / n), so each code's
+    mass of weights at length 1 is scaled once. For native ties, as leaves of a tree have them."""
+    spec = CountSpec(lengths_of(lengths), "native", 1, float(decay), mass=True)
+    sizes = series.select("series_id", "n").distinct()
+    mass = window_counts(series, spec).groupBy("series_id", "length", "code").agg(F.sum("cnt").alias("mass")).join(sizes, "series_id")
+    return mass.select("series_id", "length", "code", (F.col("mass") * F.exp(F.lit(float(decay)) * (F.col("length") - 1) / F.col("n"))).alias("cnt"))
 
 
 def gaps(windows: DataFrame) -> DataFrame:

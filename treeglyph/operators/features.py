@@ -59,16 +59,17 @@ def class_stats(cells: DataFrame) -> DataFrame:
 
 def contrast(cells: DataFrame) -> DataFrame:
     """By rank: support, present, mean, std, constant, eta_squared (the share of variance that class means explain), strongest class (the first in order of those with the largest mean)."""
-    per = cells.groupBy("rank", "label").agg(F.count("*").alias("n"), F.avg("cnt").alias("m"), F.sum("cnt").alias("s"), F.sum(F.col("cnt") * F.col("cnt")).alias("q"), F.count_if(F.col("cnt") > 0).alias("p"))
-    total, square, n = F.sum("s"), F.sum("q"), F.sum("n")
-    variation = square - total * total / n
-    between = F.sum(F.col("n") * F.col("m") * F.col("m")) - total * total / n
-    eta = F.when(variation > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), between / variation))).otherwise(F.lit(0.0))
+    moments = cells.groupBy("rank", "label").agg(F.count("*").alias("n"), F.avg("cnt").alias("m"), F.var_pop("cnt").alias("v"), F.sum("cnt").alias("s"), F.count_if(F.col("cnt") > 0).alias("p"))
+    overall = moments.groupBy("rank").agg((F.sum("s") / F.sum("n")).alias("mu"))
+    per = moments.join(overall, "rank")  # deviations from the mean, not differences of large sums
+    between = F.sum(F.col("n") * (F.col("m") - F.col("mu")) * (F.col("m") - F.col("mu")))
+    variation = between + F.sum(F.col("n") * F.col("v"))
+    eta = F.when(variation > 0, F.least(F.lit(1.0), between / variation)).otherwise(F.lit(0.0))
     return per.groupBy("rank").agg(
-        total.alias("support"),
+        F.sum("s").alias("support"),
         F.sum("p").alias("present"),
-        (total / n).alias("mean"),
-        F.sqrt(F.greatest(F.lit(0.0), variation / n)).alias("std"),
+        F.first("mu").alias("mean"),
+        F.sqrt(variation / F.sum("n")).alias("std"),
         (variation == 0).alias("constant"),
         eta.alias("eta_squared"),
         F.min(F.struct(-F.col("m"), F.col("label")))["label"].alias("strongest"),
@@ -109,3 +110,23 @@ def examples(windows: DataFrame, dictionary: DataFrame, per_code: int) -> DataFr
 def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one has and the other hasn't; empty where both are equal."""
     return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
+
+
+def shared_columns(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Of two sets of cells (series_id, code, cnt), as two budgets give: each code that both have, its series, how many have other counts in the one than in the other, and its sum."""
+    other = b.select("series_id", "code", F.col("cnt").alias("other"))
+    both = a.select("code").distinct().join(b.select("code").distinct(), "code")
+    cells = a.select("series_id", "code", "cnt").join(other, ["series_id", "code"], "full").join(both, "code")
+    return cells.groupBy("code").agg(F.count("*").alias("series"), F.count_if(~F.col("cnt").eqNullSafe(F.col("other"))).alias("differing"), F.sum("cnt").alias("support"))
+
+
+def budget_steps(dictionaries: DataFrame, budgets: list[int]) -> DataFrame:
+    """From budget, rank and code: for each step from a budget to the next, patterns added, removed and shared, whether the smaller dictionary is a subset, and whether it is the
+    beginning of the larger one."""
+    steps = dictionaries.sparkSession.createDataFrame(list(zip(budgets, budgets[1:])), "from_budget int, to_budget int")
+    side = lambda at, rank: dictionaries.join(F.broadcast(steps), dictionaries["budget"] == steps[at]).select("from_budget", "to_budget", "code", F.col("rank").alias(rank))
+    both = side("from_budget", "old").join(side("to_budget", "new"), ["from_budget", "to_budget", "code"], "full")
+    kept = F.col("old").isNotNull()
+    n = lambda c: F.count_if(c)
+    per = both.groupBy("from_budget", "to_budget").agg(n(~kept).alias("added"), n(F.col("new").isNull()).alias("removed"), n(kept & F.col("new").isNotNull()).alias("shared"), n(kept & ~F.col("old").eqNullSafe(F.col("new"))).alias("moved"))
+    return per.select("from_budget", "to_budget", "added", "removed", "shared", (F.col("removed") == 0).alias("smaller_is_subset"), (F.col("moved") == 0).alias("exact_prefix"))

@@ -337,11 +337,12 @@ def pattern_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.catalogue(out)
 
 
-@query("select '' as side, '' as code where false")
+@query(_RANKED + ", a as (select rank, code from t where rank <= 10) select code, rank::int as small_rank, rank::int as large_rank, true as same from a")
 def budget_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smaller dictionary against the first places of the larger one: no differences."""
-    d = _ladder(spark, sf_dir)
-    return features.parity(d[10], d[20].where("rank <= 10")).select("side", "code")
+    """A smaller dictionary and the first places of a larger one, each mined by itself: the same patterns at the same places."""
+    small, large = (_dictionary(mining.mine(_events(spark, sf_dir), b, lengths=SHORT)).select("rank", "code") for b in (10, 20))
+    both = small.withColumnRenamed("rank", "small_rank").join(large.where("rank <= 10").withColumnRenamed("rank", "large_rank"), "code", "full")
+    return both.withColumn("same", F.col("small_rank").eqNullSafe(F.col("large_rank")))
 
 
 _EXAMPLES = Q.best("events", [3, 4], 8) + """, h as (select t.rank, c.sid, count(*) as cnt, min(c.st) as st, any_value(c.m) as m from c join t on t.code = c.code group by t.rank, c.sid)
@@ -426,7 +427,7 @@ def macro_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def speedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.createDataFrame(_RUNS, "source string, n int, length int, repeat int, engine string, seconds double, output string")
-    m = metrics.speedups(df, 2)
+    m = metrics.speedups(df, 2, "CT-Hash", "CT")
     return m.select("source", "n", "length", "matched", "status", *(F.round(c, 6).alias(c) for c in ("fast_mean", "slow_mean", "speedup")))
 
 
@@ -460,10 +461,19 @@ def synthetic_monotone_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- what SQL can't say -----------------------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    Q.support("events", UP_TO_5)
+    + f""", e as (select {Q.TEXT} as code, m, unnest(code)::int as d, generate_subscripts(code, 1)::int - 1 as i from d), l as (select code, m, i, case when d > 0 then i - d else -1 end as b from e)
+    , r as (select a.code, a.m, a.i, a.b, coalesce(min(z.i), any_value(a.m)) as z, arg_min(z.b, z.i) as zb from l a left join l z on z.code = a.code and z.i > a.i and z.b < a.i group by all)
+    , p as (select code, i, b, z, case when z < m and zb = b then z else b end as parent from r)
+    select code, max(i) filter (where parent = -1)::int as root, array_to_string(list(parent order by i), ',') as parents,
+      array_to_string(list((select count(*) - 1 from p k where k.code = p.code and k.b < p.i and p.i < k.z) order by i), ',') as depth from p group by code"""
+)
 def ct_tree_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root, parents and depths of all patterns' trees."""
-    return _event_support(spark, sf_dir).select("code", kernels.tree_of(codes.code_array(F.col("code"))).alias("t")).select("code", "t.*")
+    trees = _event_support(spark, sf_dir).select("code", kernels.tree_of(codes.code_array(F.col("code"))).alias("t"))
+    text = lambda c: F.array_join(F.col(f"t.{c}").cast("array<string>"), ",").alias(c)
+    return trees.select("code", "t.root", text("parents"), text("depth"))
 
 
 @query("select sid as series_id, pos::int as pos, printf('%.9g', v)::double as value from (" + Q.SERIES["suppliers"] + ")")
@@ -471,9 +481,16 @@ def quantize_9g(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.quantized(src.view(spark, sf_dir, "suppliers", 1)).select("series_id", F.posexplode("x").alias("pos", "value"))
 
 
-@query()
+@query(
+    _CELLS
+    + """, z as (select sid, label, case when stddev_pop(cnt) over (partition by rank) > 0 then (cnt - avg(cnt) over (partition by rank)) / stddev_pop(cnt) over (partition by rank) else 0 end as z from f)
+    select sid as series_id, label::int as label, count(*)::bigint as dims, round(sum(z * z), 5) as norm from z group by sid, label"""
+)
 def pca_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.components(_cells(spark, sf_dir)[0], 4)
+    """All principal components of the scaled features: a rotation, which keeps every series' norm."""
+    cells, names = _cells(spark, sf_dir)
+    p = cluster.components(cells, names.count())
+    return p.select("series_id", "label", F.size("features").cast("long").alias("dims"), F.round(F.aggregate("features", F.lit(0.0), lambda a, v: a + v * v), 5).alias("norm"))
 
 
 @query()
@@ -485,3 +502,6 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def raw_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.kmeans(cluster.raw_vectors(src.view(spark, sf_dir, "embeddings")), 10).select("series_id", "label", "cluster")
+
+
+from . import studies  # noqa: E402, F401  the rest of the catalogue

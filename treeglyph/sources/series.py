@@ -80,21 +80,39 @@ def quantized(series: DataFrame) -> DataFrame:
     return series.withColumn("x", quantize_9g("x"))
 
 
+def parse_numbers(text: Column, single: bool = False) -> Column:
+    """White-space separated numbers as an array; single: through 32-bit floats."""
+    tokens = F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda t: t != "")
+    return F.transform(tokens, lambda t: (t.cast("float") if single else t).cast("double"))
+
+
 def read_text(spark: SparkSession, path: str, single: bool = False) -> DataFrame:
     """A series per file of white-space separated numbers; single: through 32-bit floats. series_id is the file's name."""
     lines = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("series_id"))
-    tokens = F.filter(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "), lambda t: t != "")
-    x = F.transform(tokens, lambda t: (t.cast("float") if single else t).cast("double"))
-    return whole(lines.select("series_id", x.alias("x")))
+    return whole(lines.select("series_id", parse_numbers(F.col("value"), single).alias("x")))
+
 
+def parse_ts(lines: DataFrame) -> DataFrame:
+    """From series_id and line of a ``.ts`` archive of univariate labelled series: series. Lines that begin with @ or # are its header, empty ones nothing; others are values by
+    comma, then a colon and the label. A header that says the archive isn't such a one, or a line of another form, is an error."""
+    line = F.trim("line")
+    data = lines.withColumn("line", line)
+    head, parts = F.col("line").rlike("^([@#]|$)"), F.split("line", ":")
+    other = F.lower("line").rlike(r"^@(univariate\s+false|equallength\s+false|timestamps\s+true|classlabel\s+false)")
+    good = (F.size(parts) == 2) & (F.trim(parts[1]) != "")
+    wrong = lambda what: F.raise_error(F.concat(F.lit(what), F.substring("line", 1, 80)))
+    # what is asked of a line holds for every line, as Spark may ask before it leaves out the header
+    values = F.when(other, wrong("not a univariate, equally long, labelled archive: ")).when(head, F.lit(None)).when(good, parts[0]).otherwise(wrong("not values and a label: "))
+    data = data.withColumn("values", values).where("values is not null")
+    values = F.col("values")
+    x = F.transform(F.split(values, ","), lambda t: F.when(F.trim(t) == "?", F.lit(float("nan"))).otherwise(F.trim(t).cast("double")))
+    return whole(data.select("series_id", x.alias("x"), F.trim(parts[1]).alias("label")), label_col="label")
 
-def read_ts(spark: SparkSession, path: str) -> DataFrame:
-    """A ``.ts`` archive of univariate labelled series: header lines start with @ or #; values by comma, then a colon and the label. series_id is file and line order."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("series_id"))
-    data = lines.where((F.col("line") != "") & ~F.col("line").startswith("@") & ~F.col("line").startswith("#"))
-    parts = F.split("line", ":")
-    x = F.transform(F.split(parts[0], ","), lambda t: F.when(t == "?", F.lit(float("nan"))).otherwise(F.trim(t).cast("double")))
-    return whole(data.select("series_id", x.alias("x"), parts[1].alias("label")), label_col="label")
+
+def read_ts(spark: SparkSession, *paths: str) -> DataFrame:
+    """``.ts`` archives, TRAIN and TEST for example, as one table. series_id is file and line order."""
+    lines = spark.read.text(list(paths)).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("series_id"))
+    return parse_ts(lines)
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
@@ -113,7 +131,8 @@ def synthetic(spark: SparkSession, family: str, samples: int, n: int, seed: int
     if family == "monotone":
         x: Column = steps.cast("array<double>")
     elif family == "random":
-        x = F.transform(F.array_sort(F.transform(steps, lambda i: F.struct(F.xxhash64(i, "series_id", F.lit(seed)).alias("h"), i.alias("i")))), lambda t: t["i"].cast("double"))
+        mixed = lambda i: F.md5(F.concat_ws(":", i.cast("string"), F.col("series_id").cast("string"), F.lit(str(seed))).cast("binary"))
+        x = F.transform(F.array_sort(F.transform(steps, lambda i: F.struct(mixed(i).alias("h"), i.alias("i")))), lambda t: t["i"].cast("double"))
     elif family == "periodic":
         p = min(period, n)
         blocks = -(-n // p)
@@ -125,21 +144,31 @@ def synthetic(spark: SparkSession, family: str, samples: int, n: int, seed: int
 
 
 def excerpt(series: DataFrame, count: int, points: int) -> DataFrame:
-    """Evenly spaced series, in the order of their ids, and the first points of each. The ids are numbered on one machine: for samples, not corpora."""
-    total = series.count()
+    """Evenly spaced series, from the first to the last in the order of their ids (places between two are those before), and the first points of each. Ids are ranked by ranges of them: each
+    task ranks its own, and the numbers of ids in the ranges before come from the driver."""
+    ids = series.select("series_id").repartitionByRange("series_id").sortWithinPartitions("series_id").withColumn("part", F.spark_partition_id())
+    held = ids.groupBy("part").count().collect()
+    total = sum(r["count"] for r in held)
     if not total:
         return series
-    wanted = sorted({round(i * (total - 1) / max(1, min(count, total) - 1)) for i in range(min(count, total))})
-    row = F.row_number().over(Window.orderBy("series_id")) - 1
-    kept = series.select("series_id", row.alias("r")).where(F.col("r").isin(wanted)).select("series_id")
+    n = min(count, total)
+    wanted = sorted({i * (total - 1) // max(1, n - 1) for i in range(n)})
+    before, places = 0, []
+    for r in sorted(held, key=lambda r: r["part"]):
+        places += [(r["part"], k - before + 1) for k in wanted if before <= k < before + r["count"]]
+        before += r["count"]
+    chosen = series.sparkSession.createDataFrame(places, "part int, r int")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("series_id"))
+    kept = ids.withColumn("r", place).join(F.broadcast(chosen), ["part", "r"]).select("series_id")
     out = series.join(kept, "series_id", "left_semi").withColumn("x", F.slice("x", F.lit(1), F.lit(points)))
-    n = F.size("x").cast("long")
-    return out.withColumn("n", n).withColumn("own", n)
+    size = F.size("x").cast("long")
+    return out.withColumn("n", size).withColumn("own", size)
 
 
 def subset(series: DataFrame, count: int, seed: int = 0) -> DataFrame:
-    """A seeded sample of so many series, without replacement, by the order of hashes."""
-    return series.orderBy(F.xxhash64("series_id", F.lit(seed)), "series_id").limit(count)
+    """A seeded sample of so many series, without replacement, by the order of MD5 sums; in the order of ids."""
+    mixed = F.md5(F.concat_ws(":", F.col("series_id").cast("string"), F.lit(str(seed))).cast("binary"))
+    return series.orderBy(mixed, "series_id").limit(count).orderBy("series_id")
 
 
 #: The driver tables as series: table, id, order, value.

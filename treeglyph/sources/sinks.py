@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import code_array
@@ -28,9 +28,13 @@ def save_mined(mined: Mined, path: str, series: DataFrame | None = None) -> None
 def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """The saved dictionary, or an error where ranks, lengths or the order aren't what they should be, or a code is there twice."""
     d = spark.read.parquet(f"{path}/dictionary")
-    place = F.row_number().over(Window.orderBy(*order()))
-    good = (F.col("rank") == place) & (F.size(code_array(F.col("code"))) == F.col("length")) & (F.col("support") >= 0)
-    if d.select((~good).alias("bad")).where("bad").limit(1).count() or d.groupBy("code").count().where("count > 1").limit(1).count():
+    good = (F.size(code_array(F.col("code"))) == F.col("length")) & (F.col("support") >= 0)
+    n = d.agg(F.count("*"), F.min("rank"), F.max("rank"), F.countDistinct("rank"), F.countDistinct("code"), F.count_if(~F.coalesce(good, F.lit(False)))).first()
+    # each pattern against the one of the rank before it: no sort of the whole on one machine
+    after = d.select((F.col("rank") + 1).alias("rank"), *(F.col(c).alias(f"p_{c}") for c in ("support", "length", "code")))
+    place = lambda p: F.struct(-F.col(f"{p}support"), F.col(f"{p}length"), code_array(F.col(f"{p}code")))
+    wrong = d.join(after, "rank").where(place("") <= place("p_")).limit(1).count()
+    if n[0] and (tuple(n) != (n[0], 1, n[0], n[0], n[0], 0) or wrong):
         raise ValueError("the saved dictionary isn't in order")
     return d
 
@@ -48,6 +52,22 @@ def write_counts_text(counts: DataFrame, path: str) -> None:
     counts.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
+def write_vectors_text(vectors: DataFrame, path: str) -> None:
+    """A line per series and code with bins: V, series, [code] and the counts of all bins by comma, by tabs."""
+    values = F.array_join(F.col("values").cast("array<string>"), ",")
+    line = F.concat_ws("\t", F.lit("V"), F.col("series_id").cast("string"), F.concat(F.lit("["), "code", F.lit("]")), values)
+    vectors.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_vectors_text(spark: SparkSession, path: str) -> DataFrame:
+    """What write_vectors_text wrote; reading a line of another form fails."""
+    parts = F.split("value", "\t")
+    ok = F.col("value").rlike(r"^V\t-?[0-9]+\t\[[0-9]+(,[0-9]+)*\]\t[0-9.Ee+-]+(,[0-9.Ee+-]+)*$")
+    text = F.when(ok, parts[2]).otherwise(F.raise_error(F.concat(F.lit("not a vector of counts: "), F.col("value"))))
+    code = F.regexp_replace(F.substring(text, 2, 2**30), r"\]$", "")
+    return spark.read.text(path).select(parts[1].cast("long").alias("series_id"), code.alias("code"), F.split(parts[3], ",").cast("array<double>").alias("values"))
+
+
 def read_counts_text(spark: SparkSession, path: str) -> DataFrame:
     """What write_counts_text wrote; reading a line of another form fails."""
     parts = F.split("value", "\t")
@@ -78,8 +98,10 @@ def cell(value: object) -> str:
 
 
 def markdown(table: DataFrame, limit: int = 200) -> str:
-    """A report's table. For aggregates: at most ``limit`` rows come to the driver."""
-    rows = table.limit(limit).collect()
+    """A report's table. For aggregates: more than ``limit`` rows are an error, not a shorter table."""
+    rows = table.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows for a report")
     lines = ["| " + " | ".join(table.columns) + " |", "|" + " --- |" * len(table.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows]) + "\n"
 
