@@ -11,7 +11,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 
 from treeglyph.llm import components, linededup, minhash, packing, perfect, suffixes  # noqa: E402
-from treeglyph.llm.common import shared_table  # noqa: E402
+from treeglyph.llm.common import compact, shared_table, sized_like  # noqa: E402
 from treeglyph.llm.queries import vocabulary  # noqa: E402
 
 WORDS = vocabulary("word_bpe_49k.json")
@@ -209,8 +209,29 @@ def test_near_duplicates(spark, monkeypatch, words, large, few, block):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """More partitions of a shuffle than results get."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_as_many_partitions_as_rows_need(spark, many_partitions):
+    big = spark.range(10_000).repartition("id")
+    assert compact(big).rdd.getNumPartitions() <= 6 and compact(big, deal=True).rdd.getNumPartitions() == 6
+    small, large = spark.range(10), spark.range(10**9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert sized_like(big, small).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and sized_like(big, large).rdd.getNumPartitions() == 48
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r["id"] for r in compact(big, deal=True).collect()) == list(range(10_000))
+
+
 @pytest.mark.parametrize("rounds,large", [(0, 64), (1, 64), (1, 1), (3, 64)])
-def test_any_number_of_rounds_finds_the_same(spark, monkeypatch, rounds, large):
+def test_any_number_of_rounds_finds_the_same(spark, monkeypatch, many_partitions, rounds, large):
     monkeypatch.setattr(minhash, "BLOCK_ITEMS", 700)  # a few sets; one of the very long ones by itself is larger
     rows = near_rows()
     r = random.Random(13)
@@ -311,7 +332,7 @@ def test_suffix_dedup(spark, monkeypatch, wide, block):
     assert sorted((tuple(r) for r in got), key=str) == brute_suffix(rows)
 
 
-def test_suffix_dedup_texts(spark):
+def test_suffix_dedup_texts(spark, many_partitions):
     rows = suffix_rows()
     out = suffixes.suffix_dedup(docs_of(spark, rows))
     assert out.columns == NAMES and out.count() == len(rows)

@@ -47,11 +47,21 @@ class _Made(threading.local):
 _made = _Made()
 
 
-def compact(df: DataFrame, by: int = 8) -> DataFrame:
+def compact(df: DataFrame, by: int = 8, deal: bool = False) -> DataFrame:
     """The same rows in an eighth of the shuffle's partitions, though not in fewer than there are cores: for tables that hold a small part of what
-    was shuffled, so that they don't become as many small files."""
+    was shuffled, so that they don't become as many small files. ``deal``: by a small shuffle of their own, so that the stage that makes them keeps its tasks."""
     spark = df.sparkSession
-    return df.coalesce(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // by))
+    now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(spark.sparkContext.defaultParallelism, now // by)
+    return df if n >= now else df.repartition(n) if deal else df.coalesce(n)
+
+
+def sized_like(df: DataFrame, source: DataFrame, part: int = 16 << 20) -> DataFrame:
+    """The same rows, in no more partitions than one for each 16 MB of ``source`` by Catalyst's estimate and two for each core: results of joins don't become as many small
+    files as the shuffle has partitions."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // part))
+    return df.coalesce(n) if n < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:

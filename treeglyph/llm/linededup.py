@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, compact, drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, unused, utf8_values
+from .common import SPACE, compact, drop_since, free_shuffles, map_arrow, shared_table, sized_like, tables_so_far, unused, utf8_values
 from .perfect import Shard
 
 MIN_CHARS, MIN_DOCS, SHARD_KEYS, HOT = 20, 3, 200_000, 1024
@@ -157,6 +157,7 @@ def _thin(docs: DataFrame, columns: list[str], schema: str, emit: Callable, min_
     key, gone = unused("__key", docs), unused("__drops", docs)
     keyed = docs.select(F.col("doc_id").cast("long").alias(key), *columns)
     joined = keyed.join(drops.toDF(key, gone).hint("merge"), key, "left").select(key, gone, *columns)
+    joined = sized_like(joined, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import compact, drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, unused, utf8_values
+from .common import compact, drop_since, free_shuffles, map_arrow, shared_table, sized_like, tables_so_far, unused, utf8_values
 from .components import components
 
 ROWS, BANDS, ROUNDS, RARE, LARGE, FEW = 6, 48, 2, 16, 64, 16
@@ -186,7 +186,7 @@ def _rare(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     ids = members.select("id", "n", "comp").distinct()
     each = map_arrow(sets.join(ids.select("id"), "id", "left_semi"), _unpack, "id long, item long")
     rare = each.groupBy("item").agg(F.count("*").alias("k")).where(F.col("k") <= RARE)
-    held = shared_table(compact(each.join(rare, "item").select("id", "item", "k")), "rare")
+    held = shared_table(compact(each.join(rare, "item").select("id", "item", "k"), deal=True), "rare")
     own = held.groupBy("id").agg(F.count("*").alias("own"))
     rest = ids.join(own, "id", "left").withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     both = held.where("k > 1").select("id", "item").join(rest, "id")
@@ -339,7 +339,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
     shared = each.withColumn("k", F.count("*").over(Window.partitionBy("bucket"))).where("k > 1")
     members = shared_table(compact(shared.join(first, ["s1", "s2"]).select("bucket", "id", "n", F.col("n").alias("m"), F.col("id").alias("comp"))), "members")
     free_shuffles(spark)
-    sets = shared_table(_sets(named.join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), words), "shingles")
+    own = named.join(members.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
+    sets = shared_table(compact(_sets(own, words)), "shingles")
     free_shuffles(spark)
 
     blocks = shared_table(compact(_blocks(members)), "blocks")
@@ -358,7 +359,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
         if sharing is not None:
             pairs, sharing = pairs.unionByName(sharing).distinct(), None
         pairs = shared_table(compact(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")), "pairs")
-        found = shared_table(_linked(pairs, sets, blocks, percent), "links")
+        found = shared_table(compact(_linked(pairs, sets, blocks, percent), deal=True), "links")
         free_shuffles(spark)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not found.isEmpty():
@@ -386,7 +387,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
         found = _linked(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), sets, blocks, percent)
         probes = now.where((F.col("comp") != F.col("top")) & (F.col("size") >= large)).select("id", F.col("top").alias("comp")).distinct()
         targets = now.select("id", "n", "comp").distinct().join(probes.select("comp").distinct(), "comp", "left_semi")
-        found = shared_table(found.unionByName(links).unionByName(_against(probes, targets, sets, percent)), "links")
+        found = shared_table(compact(found.unionByName(links).unionByName(_against(probes, targets, sets, percent)), deal=True), "links")
         if not found.isEmpty():
             labels = _relabelled(labels, found)
     # rows of one doc_id are one node: the representatives of its sets are linked through it
@@ -399,7 +400,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, rows:
     out = held.join(first, ["s1", "s2"], "left").withColumn("id", F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id")))
     out = out.join(labels, "id", "left") if labels is not None else out.withColumn("comp", F.lit(None).cast("long"))
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    return sized_like(out, held).select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, **parameters: int) -> DataFrame:
@@ -408,4 +409,4 @@ def keep_first(docs: DataFrame, **parameters: int) -> DataFrame:
     verdict = near_duplicates(docs, **parameters).where("kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
     lost = F.col("doc_id").isNull()
     kept = docs.where(~lost).withColumn(key, F.col("doc_id").cast("long")).join(verdict.hint("merge"), key, "left_semi").select(*docs.columns)
-    return kept.unionByName(docs.where(lost))
+    return sized_like(kept, docs).unionByName(docs.where(lost))

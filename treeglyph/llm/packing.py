@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shared_table, utf8_values
+from .common import map_arrow, shared_table, sized_like, utf8_values
 
 CAPACITY, END_ID = 2048, 1
 
@@ -235,4 +235,4 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id:
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    return map_arrow(ranked.select(*names, (F.col("before") + F.col("nth")).alias("rank")), run, ", ".join(f"{n} long" for n in (*names, "sequence_id", "offset")))
+    return map_arrow(sized_like(ranked, pieces).select(*names, (F.col("before") + F.col("nth")).alias("rank")), run, ", ".join(f"{n} long" for n in (*names, "sequence_id", "offset")))

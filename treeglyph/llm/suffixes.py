@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, drop_since, free_shuffles, map_arrow, shared_table, tables_so_far, unused, utf8_values
+from .common import compact, drop_since, free_shuffles, map_arrow, shared_table, sized_like, tables_so_far, unused, utf8_values
 from .minhash import mix
 
 WIDTH, K = 100, 32
@@ -340,13 +340,13 @@ def repeats(docs: DataFrame, wide: int = WIDE, block: int = BLOCK, doc: str = "d
     """doc and spans array<long> (start * 2^32 + length) of documents that lose bytes. ``doc``: the column that tells them apart and orders them."""
     spark, since = docs.sparkSession, tables_so_far()
     docs = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    settled = shared_table(settle(places(docs), wide), "settled")
+    settled = shared_table(compact(settle(places(docs), wide), deal=True), "settled")
     free_shuffles(spark)
     spans = settled.where("kind = 0").select("doc", "start", "size")
     kinds = {r["kind"] for r in settled.select("kind").distinct().collect()}  # three at most
     for kind, then in ((1, lambda x: sort_buckets(_hulls(x), block)), (2, sort_wide)):
         if kind in kinds:
-            spans = spans.unionByName(shared_table(then(_with_places(docs, settled.where(F.col("kind") == kind))), "spans"))
+            spans = spans.unionByName(shared_table(compact(then(_with_places(docs, settled.where(F.col("kind") == kind))), deal=True), "spans"))
             free_shuffles(spark)
     packed = (F.col("start") * (1 << 32) + F.col("size")).alias("span")
     out = shared_table(compact(spans.select("doc", packed).groupBy("doc").agg(F.collect_list("span").alias("spans"))), "repeats")
@@ -369,7 +369,7 @@ def _with_spans(docs: DataFrame, columns: list[str], wide: int, block: int) -> D
     docs, doc = ordered(docs)
     spans = unused("__spans", docs)
     found = repeats(docs, wide, block, doc).toDF(doc, spans)
-    return docs.select(doc, *columns).join(found.hint("merge"), doc, "left").select(spans, *columns)
+    return sized_like(docs.select(doc, *columns).join(found.hint("merge"), doc, "left").select(spans, *columns), docs)
 
 
 def _each(b: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray | None]]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, map_arrow, shared_table, utf8_values
+from .common import BATCH_BYTES, map_arrow, shared_table, sized_like, utf8_values
 
 MIN_REVISIT = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -226,7 +226,7 @@ def write_warc(pages: DataFrame, archive_bytes: int = 8 << 20) -> DataFrame:
         if out:
             yield pack()
 
-    return shared_table(map_arrow(with_revisits(pages).select("page_id", "url", "html", "digest", "refers_to"), run, "archive binary, n_records long"), "warc")
+    return shared_table(map_arrow(sized_like(with_revisits(pages).select("page_id", "url", "html", "digest", "refers_to"), pages), run, "archive binary, n_records long"), "warc")
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
