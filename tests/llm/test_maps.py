@@ -1,5 +1,6 @@
 """Operators that work row by row, against their libraries, brute force and exact round trips."""
 
+import functools
 import hashlib
 import random
 import struct
@@ -39,11 +40,22 @@ def test_tree_equals_library():
         assert plain.encode(text or "").tolist() == plain._encoding.encode_ordinary(text or "")
 
 
+@functools.cache
+def _tree():
+    return bpe.TreeBPE(RANKS, P.PATTERN, leaf=4, window=1)
+
+
+def test_patterns_that_go_on_over_white_space_are_refused():
+    for pattern in (r"\S+\s*|\s+", r".+|\n", r"(?<=\S )\w+|\S|\s", r"\w+ \w+|\S|\s"):
+        with pytest.raises(ValueError):
+            bpe.TreeBPE(RANKS, pattern)
+    bpe.TreeBPE(RANKS, r" ?\w+| ?[^\s\w]+|\s+(?!\S)|\s+")
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_tree_on_any_text(text):
-    tree = bpe.tree_bpe(RANKS, P.PATTERN) if hasattr(bpe, "tree_bpe") else bpe.TreeBPE(RANKS, P.PATTERN)
-    tree.leaf, tree.window = 4, 1
+    tree = _tree()
     ids = tree.encode(text)
     assert ids.tolist() == tree._encoding.encode_ordinary(text) and tree.decode(ids) == text.encode()
 

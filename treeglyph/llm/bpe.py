@@ -7,7 +7,8 @@ a window around the cut, which grows on either side until it ends where ids prov
 Such a place is one where a character that isn't white space is followed by white space: the split pattern has no
 match that goes on from the former to the latter, and what it matches from any place on depends on the text from
 there only. So ids before and after the place are those of the two sides alone, and joining drops the ids of the
-window's halves and puts those of the whole window in their place.
+window's halves and puts those of the whole window in their place. A pattern has to be such a one: on a few texts the constructor sees whether a match goes on
+across such a place, or changes with what is before it, and raises an error.
 
 Decoding halves the ids and concatenates bytes up the tree.
 
@@ -31,14 +32,22 @@ from .common import map_arrow
 #: A place between the two characters of a match. \S leaves out what either library takes for white space.
 _SAFE = re.compile(r"\S(?=[ \n\t\r])")
 EMPTY = np.empty(0, np.uint32)
+#: Texts on which a pattern is tried: letters, digits, marks and breaks in turn, with all kinds of white space between.
+_PROBES = [f"{a}{gap}{b}" for a in ("it's", "x1", "12", "é!", "...", "中", "don't 3") for gap in (" ", "  ", "\n", " \n ", "\t", "\r\n") for b in ("we'll", "2b", "34", "?é", "--", "文")]
 
 
 class TreeBPE:
     """``rank_file``: base64 token and rank by line. ``pattern``: what splits text before merging."""
 
     def __init__(self, rank_file: str, pattern: str, leaf: int = 1 << 12, window: int = 64):
+        import regex
         import tiktoken
 
+        split = regex.compile(pattern)
+        for probe in _PROBES:
+            for m in _SAFE.finditer(probe):
+                if split.findall(probe) != split.findall(probe[: m.end()]) + split.findall(probe[m.end() :]):
+                    raise ValueError("the pattern doesn't end a match where white space follows")
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
