@@ -98,3 +98,37 @@ def test_mining_past_the_overlap_of_segments(spark):
         series_counts(cut, [9]).collect()
     assert series_counts(cut, [8]).agg({"cnt": "sum"}).first()[0] == 83 + 18
     assert series_counts(whole(spark.createDataFrame([(1, [1.0, 2.0])], "series_id long, x array<double>")), [2, 9]).count() == 1
+
+
+def test_fingerprints_and_ranges(spark):
+    import hashlib
+
+    import numpy as np
+    import pytest
+
+    from tests.test_codes import MIX, as_series
+    from treeglyph.sources import series as src
+
+    s = as_series(spark, MIX)
+    saved = src.fingerprints(s)
+    got = {r["series_id"]: r["sha256"] for r in saved.collect()}
+    want = {i: hashlib.sha256((hashlib.sha256(np.array(x, "<f8").tobytes()).hexdigest() + "\x1f").encode()).hexdigest() for i, x in MIX.items()}
+    assert got == want and src.verified(s, saved).count() == len(MIX)
+    for other in (s.where("series_id > 0"), as_series(spark, {**MIX, 3: [1.0, 2.0]})):
+        with pytest.raises(ValueError):
+            src.verified(other, saved)
+
+
+def test_archives_that_are_others_fail(spark, tmp_path):
+    import pytest
+
+    from treeglyph.sources import series as src
+
+    (tmp_path / "a_TRAIN.ts").write_text("# x\n@univariate true\n@data\n1,2,?:a\n")
+    (tmp_path / "a_TEST.ts").write_text("@univariate true\n@data\n\n3,4,5 : b\n")
+    both = src.read_ts(spark, str(tmp_path / "a_TRAIN.ts"), str(tmp_path / "a_TEST.ts")).collect()
+    assert sorted((r["label"], len(r["x"])) for r in both) == [("a", 3), ("b", 3)]
+    for i, text in enumerate(("@univariate false\n1,2:a\n", "@classLabel false\n1,2:a\n", "1,2\n", "1,2:\n", "1:2:a\n")):
+        (tmp_path / f"bad{i}.ts").write_text(text)
+        with pytest.raises(Exception):  # noqa: B017
+            src.read_ts(spark, str(tmp_path / f"bad{i}.ts")).collect()

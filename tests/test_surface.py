@@ -48,6 +48,16 @@ def test_text_sinks(spark, tmp_path):
     assert "polyline" in sinks.waveform_svg([1.0, 1.0])
     with pytest.raises(ValueError):
         sinks.tree_svg([0, 5])
+    with pytest.raises(ValueError):
+        sinks.markdown(spark.range(5), limit=4)
+    page = sinks.html_report("a < b", {"t": b}, {"tree": sinks.tree_svg([0, 1])})
+    assert "a &lt; b" in page and "<td>0.5000</td>" in page and "<svg" in page
+    with pytest.raises(ValueError):
+        sinks.html_report("x", {"t": spark.range(5)}, limit=4)
+    v = counts.bin_vectors(counts.series_counts(as_series(spark, MIX), [2, 3], bins=3), 3)
+    sinks.write_vectors_text(v, str(tmp_path / "v"))
+    back = {(r["series_id"], r["code"]): list(r["values"]) for r in sinks.read_vectors_text(spark, str(tmp_path / "v")).collect()}
+    assert back == {(r["series_id"], r["code"]): list(r["values"]) for r in v.collect()} and all(sum(back[s, code]) == n for (s, _, code), n in brute_counts(MIX, [2, 3]).items())
 
 
 def test_sql_functions(spark):
@@ -83,3 +93,30 @@ def test_clustering_queries_take_ten_restarts(spark, monkeypatch):
     assert queries.raw_kmeans(spark, SF).count() > 0 and seeds == list(range(10))
     seeds.clear()
     assert queries.kmeans_clusters(spark, SF).count() > 0 and seeds == list(range(10))
+
+
+def test_ranks_of_many_patterns(spark):
+    from tests.test_codes import brute_mine
+
+    c = counts.eligible(counts.corpus_support(counts.series_counts(as_series(spark, MIX), range(2, 7))))
+    got = [(r["rank"], r["length"], r["code"], r["support"]) for r in select.ranked_wide(c.repartition(7)).orderBy("rank").collect()]
+    assert got == [(i, *x) for i, x in enumerate(brute_mine(MIX, 0, 2, range(2, 7)), 1)]
+
+
+def test_clusters_are_at_rest(spark):
+    """Each series is in the cluster whose centre, the mean of its members, is the nearest; and no single run is cheaper than what is taken."""
+    import numpy as np
+
+    from treeglyph.operators import cluster
+
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(c, 0.3, (20, 4)) for c in (0, 2, 5)])
+    table = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "series_id long, features array<double>")
+    got = {row["series_id"]: row["cluster"] for row in cluster.kmeans(table, 3).collect()}
+    labels = np.array([got[i] for i in range(len(x))])
+    centres = np.array([x[labels == k].mean(0) for k in range(3)])
+    assert (((x[:, None] - centres) ** 2).sum(2).argmin(1) == labels).all() and len({tuple(labels[a : a + 20]) for a in (0, 20, 40)}) == 3
+    z = spark.createDataFrame([(i, rank + 1, float(v)) for i, row in enumerate(x) for rank, v in enumerate(row)], "series_id long, rank int, cnt double")
+    p = np.array([row["features"] for row in cluster.components(z, 4).orderBy("series_id").collect()])
+    gram = p.T @ p
+    assert abs(gram - np.diag(np.diag(gram))).max() < 1e-8 and (np.diff(np.diag(gram)) <= 1e-9).all() and abs(np.trace(gram) - 4 * len(x)) < 1e-8

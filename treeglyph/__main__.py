@@ -7,7 +7,8 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .operators import cluster, features, metrics
-from .plans.mining import mine
+from .operators.counts import corpus_support, series_counts
+from .plans.mining import mine, rounds, wanted_lengths
 from .sources import series, sinks
 
 
@@ -28,10 +29,13 @@ def main(argv: list[str] | None = None) -> None:
     label = "label" if "label" in table.columns else None
     data = series.checked(series.whole(table, label_col=label))
     data = series.quantized(data) if a.quantize else data
-    found = mine(data, a.budget, a.minsup, a.lengths, ties=a.ties)
     if a.task == "explain":
-        found.dictionary.explain("formatted")
+        planned = rounds(wanted_lengths(data, a.budget, a.lengths))
+        print("rounds of lengths, as far as they are needed:", ", ".join(f"{r[0]} to {r[-1]}" for r in planned) or "none")
+        if planned:
+            corpus_support(series_counts(data, planned[0], a.ties), a.minsup).explain("formatted")
         return
+    found = mine(data, a.budget, a.minsup, a.lengths, ties=a.ties)
     sinks.save_mined(found, a.out, None if a.task == "mine" else data)
     if a.task == "cluster":
         if not label:

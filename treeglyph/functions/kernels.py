@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -62,6 +63,12 @@ def distinct_of(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(again[::-1])[::-1] - at
 
 
+@F.pandas_udf(T.StringType())
+def values_sha256(x: pd.Series) -> pd.Series:
+    """SHA-256 of the values as little-endian doubles, without -0.0."""
+    return x.map(lambda row: None if row is None else hashlib.sha256((np.asarray(row, "<f8") + 0.0).tobytes()).hexdigest())
+
+
 @F.pandas_udf(INTS)
 def parent_distance_linear(x: pd.Series) -> pd.Series:
     """As codes.parent_distance, for all series of a batch at once."""

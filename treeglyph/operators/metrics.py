@@ -36,10 +36,11 @@ def cluster_metrics(df: DataFrame, label: str = "label", cluster: str = "cluster
     )
 
 
-def dataset_checks(series: DataFrame) -> DataFrame:
-    """One row: n, classes, shortest, longest, status and the reasons of an exclusion."""
+def dataset_checks(series: DataFrame, by: str | None = None) -> DataFrame:
+    """A row for the data set, or for each value of ``by``: n, classes, shortest, longest, status (ready, excluded, or failed where there are no series) and the reasons."""
     finite = all_finite(F.col("x"))
-    s = series.agg(F.count("*").alias("n"), F.countDistinct("label").alias("classes"), F.min(F.size("x")).alias("shortest"), F.max(F.size("x")).alias("longest"), F.count_if(~finite).alias("bad"))
+    grouped = series.groupBy(by) if by else series.groupBy()
+    s = grouped.agg(F.count("*").alias("n"), F.countDistinct("label").alias("classes"), F.min(F.size("x")).alias("shortest"), F.max(F.size("x")).alias("longest"), F.count_if(~finite).alias("bad"))
     reason = F.concat_ws(
         "; ",
         F.when(F.col("shortest") != F.col("longest"), "unequal length"),
@@ -47,7 +48,8 @@ def dataset_checks(series: DataFrame) -> DataFrame:
         F.when(F.col("bad") > 0, "missing or non-finite values"),
         F.when(~((F.col("classes") > 1) & (F.col("classes") < F.col("n"))), "classes not 2 to n - 1"),
     )
-    return s.select("n", "classes", "shortest", "longest", F.when(reason == "", "ready").otherwise("excluded").alias("status"), reason.alias("reason"))
+    status = F.when(F.col("n") == 0, "failed").when(reason == "", "ready").otherwise("excluded")
+    return s.select(*([by] if by else []), "n", "classes", "shortest", "longest", status.alias("status"), reason.alias("reason"))
 
 
 def macro_means(results: DataFrame, keys: list[str], metric: str, repeats: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import code_array
+from ..plans.tables import cut
 
 MODES = ("global", "per_length", "all_observed", "grouped")
 
@@ -26,6 +27,19 @@ def ranked(chosen: DataFrame) -> DataFrame:
     return chosen.withColumn("rank", F.row_number().over(Window.orderBy(*order())))
 
 
+def ranked_wide(chosen: DataFrame) -> DataFrame:
+    """The same for any number of patterns: ranges of them are sorted by themselves, and each starts from the number of patterns in the ranges before it."""
+    part = F.shiftright(F.col("__at"), 33)
+    rows = cut(chosen.orderBy(*order()).withColumn("__at", F.monotonically_increasing_id()))
+    sizes, before = [], 0
+    for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():
+        sizes.append((r["part"], before))
+        before += r["count"]
+    starts = chosen.sparkSession.createDataFrame(sizes, "part long, before long")
+    number = (F.col("before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int")
+    return rows.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("rank", number).drop("__at", "part", "before")
+
+
 def best_of(support: DataFrame, by: str, budgets: Column | int) -> DataFrame:
     """The best of each value of ``by``; partial limits keep what is shuffled small."""
     return support.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order()))).where(F.col("place") <= budgets).drop("place")

@@ -137,7 +137,7 @@ def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[
         rows = [(i, code, length, support, qualifying) for i, (code, length, support, qualifying) in enumerate(top, 1)]
         names = spark.createDataFrame(rows, "rank int, code string, length int, support double, qualifying_series long")
     else:
-        names = S.ranked(found).select("rank", "code", "length", "support", F.col("qualifying").alias("qualifying_series"))
+        names = S.ranked_wide(found).select("rank", "code", "length", "support", F.col("qualifying").alias("qualifying_series"))
     return Mined(names, spark.createDataFrame(stages, "length int, observed long, eligible long, maximum_support double"), reason, ties, given)
 
 
@@ -197,5 +197,5 @@ def mine_levelwise(rows: DataFrame, budget: int, minsup: float = 2.0, longest: i
         numbers = names.select(F.col("prefix").alias("id"), "next", F.col("id").alias("new"))
         windows = cut(live.join(numbers, ["id", "next"]).select("series_id", "st", "lim", F.col("new").alias("id")))
         names = names.select("id", "code")
-    out = S.ranked(chosen).select("rank", "code", "length", "support", F.col("qualifying").alias("qualifying_series"))
+    out = (S.ranked if budget else S.ranked_wide)(chosen).select("rank", "code", "length", "support", F.col("qualifying").alias("qualifying_series"))
     return Mined(out, stages, reason, "strict", series)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import all_finite, plain_zero
-from ..functions.kernels import quantize_9g
+from ..functions.kernels import quantize_9g, values_sha256
 
 SEGMENT = 65_536
 
@@ -120,6 +120,21 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.regexp_replace("value", r"\s", "").alias("code"))
 
 
+def fingerprints(series: DataFrame) -> DataFrame:
+    """series_id and the SHA-256 of each series' (or segment's) values and label."""
+    label = F.coalesce(F.col("label").cast("string"), F.lit("")) if "label" in series.columns else F.lit("")
+    return series.select("series_id", "shift", F.sha2(F.concat_ws("\x1f", values_sha256("x"), label), 256).alias("sha256"))
+
+
+def verified(series: DataFrame, prepared: DataFrame) -> DataFrame:
+    """The series, or an error where they aren't those whose fingerprints were saved when they were prepared."""
+    key = ["series_id", "shift", "sha256"]
+    now, then = fingerprints(series).select(*key), prepared.select(*key)
+    if now.exceptAll(then).limit(1).count() or then.exceptAll(now).limit(1).count():
+        raise ValueError("the prepared series have changed")
+    return series
+
+
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 

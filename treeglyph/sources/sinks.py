@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Mapping
 from functools import reduce
+from html import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,19 @@ def markdown(table: DataFrame, limit: int = 200) -> str:
     return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows]) + "\n"
 
 
+def html_report(title: str, tables: Mapping[str, DataFrame], drawings: Mapping[str, str] | None = None, limit: int = 200) -> str:
+    """A page with tables and drawings (SVG, by caption). More than ``limit`` rows of a table are an error."""
+    parts = [f"<!doctype html><meta charset='utf-8'><title>{escape(title)}</title><h1>{escape(title)}</h1>"]
+    for name, table in tables.items():
+        rows = table.limit(limit + 1).collect()
+        if len(rows) > limit:
+            raise ValueError(f"more than {limit} rows for a report")
+        line = lambda tag, values: "<tr>" + "".join(f"<{tag}>{escape(v)}</{tag}>" for v in values) + "</tr>"
+        parts.append(f"<h2>{escape(name)}</h2><table>{line('th', table.columns)}{''.join(line('td', map(cell, r)) for r in rows)}</table>")
+    parts += [f"<figure>{svg}<figcaption>{escape(caption)}</figcaption></figure>" for caption, svg in (drawings or {}).items()]
+    return "\n".join(parts) + "\n"
+
+
 def tree_svg(code: list[int], step: int = 24) -> str:
     """A code's min-Cartesian tree: elements from left to right, the root on top."""
     tree = decode_tree(code)

@@ -260,6 +260,18 @@ def prefix_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.prefix_conditions(sources, 8, [5, 6, 10, 50, 100, 150])
 
 
+@query(
+    """with s as (select label % 3 as dataset, label, case when vec_id % 97 = 0 then 9 else len(embedding) end as n from embeddings)
+    , a as (select dataset, count(*) as n, count(distinct label) as classes, min(n) as lo, max(n) as hi from s group by dataset)
+    select dataset::int as dataset, n::bigint as n, classes::bigint as classes, lo::int as shortest, hi::int as longest, case when lo = hi then 'ready' else 'excluded' end as status, case when lo <> hi then 'unequal length' else '' end as reason from a"""
+)
+def datasets_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several data sets in one pass; a few series are cut short."""
+    s = src.view(spark, sf_dir, "embeddings")
+    short = F.when(F.col("series_id") % 97 == 0, F.slice("x", F.lit(1), F.lit(9))).otherwise(F.col("x"))
+    return metrics.dataset_checks(s.withColumn("x", short).withColumn("dataset", (F.col("label") % 3).cast("int")), "dataset")
+
+
 @query("select vec_id as series_id, label::int as label from embeddings order by md5(vec_id || ':7'), vec_id limit 20")
 def seeded_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.subset(src.view(spark, sf_dir, "embeddings"), 20, 7).select("series_id", "label")
