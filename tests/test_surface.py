@@ -120,3 +120,47 @@ def test_clusters_are_at_rest(spark):
     p = np.array([row["features"] for row in cluster.components(z, 4).orderBy("series_id").collect()])
     gram = p.T @ p
     assert abs(gram - np.diag(np.diag(gram))).max() < 1e-8 and (np.diff(np.diag(gram)) <= 1e-9).all() and abs(np.trace(gram) - 4 * len(x)) < 1e-8
+
+
+def test_results_are_made_once(spark, tmp_path):
+    from treeglyph.plans.cache import cached, settings_key
+
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    for settings in ({"budget": 30, "minsup": 2.0}, {"minsup": 2.0, "budget": 30}, {"budget": 20, "minsup": 2.0}):
+        assert cached(spark, str(tmp_path), settings, make).count() == 3
+    assert len(made) == 2 and settings_key({"a": 1}) != settings_key({"a": "1"})
+    with pytest.raises(ValueError):
+        settings_key({"a": float("nan")})
+
+
+def test_protocol_and_rounds(spark):
+    from tests.test_codes import brute_mine
+    from treeglyph.operators import cluster
+    from treeglyph.plans import presets
+
+    rows = [(i, [float(i // 10), float(i % 2) / 9], i // 10) for i in range(30)]
+    t = spark.createDataFrame(rows, "series_id long, features array<double>, label int")
+    assert [(r["seed"], r["nmi"]) for r in cluster.protocol(t, 3, (0, 1), 2).orderBy("seed").collect()] == [(0, 1.0), (1, 1.0)]
+    with pytest.raises(ValueError):
+        presets.conditions(t, "none")
+    s = as_series(spark, MIX)
+    whole, short = mine(s, 5, stop_early=False), mine(s, 5)
+    assert [r["code"] for r in whole.dictionary.collect()] == [r["code"] for r in short.dictionary.collect()] == [c for _, c, _ in brute_mine(MIX, 5, 2, range(2, 30))]
+    assert whole.stages.count() >= short.stages.count()
+
+
+def test_long_lengths_and_hot_series(spark):
+    """One series holds most of the values, and is in segments; another repeats long patterns."""
+    import random
+
+    from tests.test_codes import as_rows, brute_mine
+
+    r = random.Random(5)
+    data = {0: [r.random() for _ in range(600)], 1: [float(i % 12) + i // 12 / 100 for i in range(120)], **{i: [r.random() for _ in range(30)] for i in range(2, 6)}}
+    want = brute_mine(data, 0, 2, range(2, 41))
+    for segment in (50, 10_000):
+        got = mine(series.gather(as_rows(spark, data), 40, segment), 0, 2, lengths=range(2, 41))
+        assert [(x["length"], x["code"], x["support"]) for x in got.dictionary.orderBy("rank").collect()] == want
+    with pytest.raises(ValueError):
+        mine(series.gather(as_rows(spark, data), 40), 3, 2, cap=20)

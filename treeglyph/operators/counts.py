@@ -150,6 +150,13 @@ def best_of_length(support: DataFrame, length: int, budget: int) -> DataFrame:
     return support.where(F.col("length") == length).orderBy(F.desc("support"), code_array(F.col("code")).asc()).limit(budget)
 
 
+def best_of_series(windows: DataFrame, budget: int) -> DataFrame:
+    """series_id, place, code, cnt, st: each series' most frequent codes among windows of one length, earlier ones first where they are as frequent (st: the first occurrence)."""
+    held = windows.groupBy("series_id", "code").agg(F.count("*").alias("cnt"), F.min("st").alias("st"))
+    place = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("cnt"), "st"))
+    return held.withColumn("place", place).where(F.col("place") <= budget).select("series_id", "place", "code", "cnt", "st")
+
+
 def intervals(support: DataFrame, minsup: float) -> DataFrame:
     """What mining one series gives in short: a row for each frequent pattern that no longer one with as much support goes on from, with how many of its beginnings have the same
     support (``lo``: the shortest such length; ``hi``: its own)."""

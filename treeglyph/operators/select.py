@@ -22,6 +22,11 @@ def best(support: DataFrame, budget: int) -> DataFrame:
     return support.orderBy(*order()).limit(budget)
 
 
+def by_coverage(support: DataFrame, budget: int) -> DataFrame:
+    """The best by the number of series that have a pattern often enough, then as in ``order``."""
+    return support.orderBy(F.desc("qualifying"), *order()).limit(budget)
+
+
 def ranked(chosen: DataFrame) -> DataFrame:
     """With rank, from 1. For chosen patterns: the ranks are given out on one machine."""
     return chosen.withColumn("rank", F.row_number().over(Window.orderBy(*order())))

@@ -78,10 +78,11 @@ def wanted_lengths(series: DataFrame, budget: int, lengths: Iterable[int] | None
     return list(range(2, min(longest, budget + 1) + 1 if budget else longest + 1))
 
 
-def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[int] | None = None, cap: int = CAP, ties: str = "strict", keep: bool = True) -> Mined:
+def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[int] | None = None, cap: int = CAP, ties: str = "strict", keep: bool = True, stop_early: bool = True) -> Mined:
     """By rounds of lengths. ``series`` are whole, or segments, which are made anew for rounds whose lengths pass their overlap; with ``keep`` they stay in memory or on
     executors' disks while rounds go on, and are made anew where an executor is lost. More than ``cap`` patterns that qualify are an error, in any mode. With a
-    budget the driver holds the best of the rounds so far: that many rows."""
+    budget the driver holds the best of the rounds so far: that many rows. Without ``stop_early`` all lengths at which anything qualifies are gone through,
+    which changes the stages and not the dictionary."""
     if budget < 0 or not math.isfinite(minsup) or minsup <= 0 or cap < 1:
         raise ValueError("invalid budget, minsup or cap")
     spark, given = series.sparkSession, series
@@ -118,10 +119,10 @@ def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[
             found = here if found is None else found.unionByName(here)
         last = per.get(own[-1])
         full = budget and len(top) >= budget
-        least = top[-1][2] * SLACK if full else 0.0
+        least = top[-1][2] * SLACK if full and stop_early else 0.0
         if not last or not last["eligible"]:
             reason = "no pattern of the last length qualifies"
-        elif full and own[-1] != todo[-1] and last["maximum_support"] < least:
+        elif stop_early and full and own[-1] != todo[-1] and last["maximum_support"] < least:
             reason = "no longer pattern can enter"
         elif own[-1] != todo[-1]:
             # of a round's last patterns, those that longer ones may begin with

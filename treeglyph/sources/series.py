@@ -120,6 +120,12 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.regexp_replace("value", r"\s", "").alias("code"))
 
 
+def train_and_test(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Both as one table, with ``part``; ids that both have are told apart by it."""
+    parts = (train.withColumn("part", F.lit("train")), test.withColumn("part", F.lit("test")))
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
 def fingerprints(series: DataFrame) -> DataFrame:
     """series_id and the SHA-256 of each series' (or segment's) values and label."""
     label = F.coalesce(F.col("label").cast("string"), F.lit("")) if "label" in series.columns else F.lit("")

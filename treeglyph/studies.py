@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import sql as Q
 from .functions import codes
 from .operators import counts, features, metrics, select
-from .plans import mining
+from .plans import mining, presets
 from .queries import SHORT, UP_TO_5, _dictionary, _event_support, _events, query
 from .sources import series as src
 
@@ -89,6 +89,28 @@ def pair_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.col("a.series_id").alias("series_id"), "length", "code").agg(F.count("*").alias("pairs"), F.sum(F.col("a.st") - F.col("b.st")).cast("long").alias("distance"))
 
 
+@query(Q.support("events", UP_TO_5) + f" select row_number() over (order by qualifying desc, support desc, m, code)::int as place, {Q.TEXT} as code, qualifying from d order by qualifying desc, support desc, m, code limit 9")
+def topk_by_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = select.by_coverage(_event_support(spark, sf_dir), 9)
+    place = F.row_number().over(Window.orderBy(F.desc("qualifying"), *select.order()))
+    return best.select(place.alias("place"), "code", "qualifying")
+
+
+@query(
+    Q.series("events") + Q.PD + Q.windows([4], "native")
+    + f", g as (select sid, {Q.TEXT} as code, count(*) as cnt, min(st) as st from c group by all), p as (select *, row_number() over (partition by sid order by cnt desc, st) as place from g) select sid as series_id, place::int as place, code, cnt::bigint as cnt, st::int as st from p where place <= 3"
+)
+def series_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent patterns of one length in each series; earlier ones first."""
+    return counts.best_of_series(counts.windows_of(_events(spark, sf_dir), [4], "native"), 3)
+
+
+@query(Q.best("embeddings", UP_TO_10, 20, 1) + Q.DICTIONARY)
+def topk_any_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best twenty of all that occurs."""
+    return _dictionary(mining.mine(src.view(spark, sf_dir, "embeddings"), 20, 1.0))
+
+
 # --- budgets against each other ---------------------------------------------------------------------------------------
 
 _BUDGETS = (5, 10, 20)
@@ -247,6 +269,16 @@ def job_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.grid(d, {"budget": [5, 30], "seed": [0, 1, 2]}).withColumn("path", F.concat_ws("/", "dataset", F.col("budget").cast("string"), F.col("seed").cast("string")))
 
 
+@query(
+    """with d as (select distinct event_type as dataset from events), b as (select unnest([10, 20, 30, 40, 50]) as budget)
+    select dataset, budget::int as budget, 2.0::double as minsup, 100::int as percent, s.s::int as seed from d, b, range(5) s(s)"""
+)
+def study_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All settings of a named study."""
+    d = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("dataset")).distinct()
+    return presets.conditions(d, "topk").withColumn("minsup", F.col("minsup").cast("double"))
+
+
 # --- sources and samples ----------------------------------------------------------------------------------------------
 
 
@@ -294,6 +326,14 @@ def text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("series_id", F.posexplode("z").alias("pos", "z")).select("series_id", "pos", "z.value", "z.single")
 
 
+@query("select case when vec_id % 3 = 0 then 'test' else 'train' end as part, vec_id // 3 as series_id, label::int as label, len(embedding)::bigint as n from embeddings where vec_id % 3 < 2")
+def train_and_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two parts of a data set as one; ids come in both."""
+    s = src.view(spark, sf_dir, "embeddings")
+    own = lambda k: s.where(F.col("series_id") % 3 == k).withColumn("series_id", F.floor(F.col("series_id") / 3))
+    return src.train_and_test(own(1), own(0)).select("part", "series_id", "label", "n")
+
+
 @query("select vec_id as series_id, 'c' || label as label, generate_subscripts(embedding, 1)::int - 1 as pos, round(unnest(embedding)::double, 3) + 0.0 as value from embeddings")
 def ts_archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled series from the lines of an archive, with its header and comments."""
