@@ -24,7 +24,7 @@ from ..functions.kernels import linear_limits, parent_distance_linear, prefix_ha
 from ..operators import counts as C
 from ..operators import select as S
 from ..operators.features import matrix
-from ..sources.series import gather, longest_whole, regather
+from ..sources.series import LONGEST_WHOLE, gather, regather
 from .tables import cut
 
 CAP, MAX_CELLS = C.CAP, 100_000_000
@@ -70,11 +70,12 @@ def rounds(lengths: list[int]) -> list[list[int]]:
     return out
 
 
-def wanted_lengths(series: DataFrame, budget: int, lengths: Iterable[int] | None) -> list[int]:
+def wanted_lengths(series: DataFrame, budget: int, lengths: Iterable[int] | None, longest: int | None = None) -> list[int]:
+    """``longest``: that of the series, if it is known."""
     if lengths is not None:
         out = list(C.lengths_of(lengths))
         return out[:budget] if budget else out  # each of the first K lengths has a prefix that outranks what is longer
-    longest = series.agg(F.max("n")).first()[0] or 0
+    longest = longest or series.agg(F.max("n")).first()[0] or 0
     return list(range(2, min(longest, budget + 1) + 1 if budget else longest + 1))
 
 
@@ -88,10 +89,11 @@ def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[
     spark, given = series.sparkSession, series
     series = series.persist(KEEP) if keep else series
     held = [series]
-    todo = wanted_lengths(series, budget, lengths)
+    longest, fits = series.agg(F.max("n"), F.expr(LONGEST_WHOLE)).first()
+    todo = wanted_lengths(series, budget, lengths, longest)
     found: DataFrame | None = None
     stages, top, seen = [], [], 0
-    reason, fits = "all lengths", longest_whole(series)
+    reason = "all lengths"
     among: dict[int, np.ndarray] = {}
     for own in rounds(todo):
         if fits is not None and own[-1] > fits:
@@ -117,17 +119,17 @@ def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[
         else:
             here = cut(able)
             found = here if found is None else found.unionByName(here)
-        last = per.get(own[-1])
-        full = budget and len(top) >= budget
-        least = top[-1][2] * SLACK if full and stop_early else 0.0
+        last, more = per.get(own[-1]), own[-1] != todo[-1]
         if not last or not last["eligible"]:
             reason = "no pattern of the last length qualifies"
-        elif stop_early and full and own[-1] != todo[-1] and last["maximum_support"] < least:
-            reason = "no longer pattern can enter"
-        elif own[-1] != todo[-1]:
-            # of a round's last patterns, those that longer ones may begin with
-            codes = able.where((F.col("length") == own[-1]) & (F.col("support") >= least)).select("code").collect()
-            among = prefix_hashes(r["code"] for r in codes)
+        elif more:
+            if budget and stop_early:
+                # what isn't among the best so far can't begin a longer one that gets there
+                codes = [code for code, length, _, _ in top if length == own[-1]]
+            else:
+                codes = [r["code"] for r in able.where(F.col("length") == own[-1]).select("code").collect()]
+            among = prefix_hashes(codes)
+            reason = reason if codes else "no longer pattern can enter"
         support.unpersist()
         if reason != "all lengths":
             break

@@ -44,10 +44,8 @@ def gather(rows: DataFrame, longest: int, segment: int = SEGMENT) -> DataFrame:
     return got.select("series_id", F.transform("items", lambda t: t["value"]).alias("x"), shift.alias("shift"), "n", F.least(F.lit(segment), F.col("n") - shift).cast("long").alias("own"))
 
 
-def longest_whole(series: DataFrame) -> int | None:
-    """The longest length whose windows are whole in every segment; None where no segment ends before its series does."""
-    size = F.size("x")
-    return series.where(F.col("shift") + size < F.col("n")).agg(F.min(size - F.col("own") + 1)).first()[0]
+#: Over series: the longest length whose windows are whole in every segment; null where no segment ends before its series does.
+LONGEST_WHOLE = "min(case when shift + size(x) < n then size(x) - own + 1 end)"
 
 
 def regather(series: DataFrame, longest: int, segment: int = SEGMENT) -> DataFrame:
