@@ -120,7 +120,7 @@ def drops_of(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DO
     """doc_id and drops (16-byte hashes) of documents that lose lines, and the arrays of the hot keys."""
     spark, since = docs.sparkSession, tables_so_far()
     holders = key_holders(docs, min_chars)
-    keys = shared_table(recurring_keys(holders, min_docs), "line-keys")
+    keys = shared_table(compact(recurring_keys(holders, min_docs), deal=True), "line-keys")
     n, total = keys.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     hot = keys.where(F.col("n") * HOT > total).collect() if total else []  # HOT rows at most: their shares sum to 1
     c = np.array([[r["h1"], r["h2"], r["n"], r["last"]] for r in hot], np.int64).reshape(-1, 4)
