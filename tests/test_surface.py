@@ -148,6 +148,9 @@ def test_protocol_and_rounds(spark):
     whole, short = mine(s, 5, stop_early=False), mine(s, 5)
     assert [r["code"] for r in whole.dictionary.collect()] == [r["code"] for r in short.dictionary.collect()] == [c for _, c, _ in brute_mine(MIX, 5, 2, range(2, 30))]
     assert whole.stages.count() >= short.stages.count()
+    assert {r["cutoff"] for r in short.stages.collect()} == {brute_mine(MIX, 5, 2, range(2, 30))[-1][2]}
+    with pytest.raises(ValueError):
+        mine(s, 0, 2, max_cells=40)
 
 
 def test_long_lengths_and_hot_series(spark):

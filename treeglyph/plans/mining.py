@@ -35,7 +35,7 @@ KEEP = StorageLevel.MEMORY_AND_DISK
 @dataclass
 class Mined:
     """dictionary: rank, code, length, support, qualifying_series. stages: by length the patterns that were counted (all of the first lengths; later those that can qualify),
-    those that qualify, and the largest support. reason: why no longer lengths were mined."""
+    those that qualify, the largest support, and the support that the best so far ended with after its round (null: there were fewer). reason: why no longer lengths were mined."""
 
     dictionary: DataFrame
     stages: DataFrame
@@ -79,11 +79,11 @@ def wanted_lengths(series: DataFrame, budget: int, lengths: Iterable[int] | None
     return list(range(2, min(longest, budget + 1) + 1 if budget else longest + 1))
 
 
-def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[int] | None = None, cap: int = CAP, ties: str = "strict", keep: bool = True, stop_early: bool = True) -> Mined:
+def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[int] | None = None, cap: int = CAP, ties: str = "strict", keep: bool = True, stop_early: bool = True, max_cells: int | None = None) -> Mined:
     """By rounds of lengths. ``series`` are whole, or segments, which are made anew for rounds whose lengths pass their overlap; with ``keep`` they stay in memory or on
     executors' disks while rounds go on, and are made anew where an executor is lost. More than ``cap`` patterns that qualify are an error, in any mode. With a
     budget the driver holds the best of the rounds so far: that many rows. Without ``stop_early`` all lengths at which anything qualifies are gone through,
-    which changes the stages and not the dictionary."""
+    which changes the stages and not the dictionary. ``max_cells``: without a budget, more cells of patterns and series than that are an error while mining."""
     if budget < 0 or not math.isfinite(minsup) or minsup <= 0 or cap < 1:
         raise ValueError("invalid budget, minsup or cap")
     spark, given = series.sparkSession, series
@@ -91,6 +91,7 @@ def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[
     held = [series]
     longest, fits = series.agg(F.max("n"), F.expr(LONGEST_WHOLE)).first()
     todo = wanted_lengths(series, budget, lengths, longest)
+    n_series = series.select("series_id").distinct().count() if max_cells is not None and not budget else 0
     found: DataFrame | None = None
     stages, top, seen = [], [], 0
     reason = "all lengths"
@@ -110,15 +111,18 @@ def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[
             support = C.support_among(series, own, minsup, among | {m: np.unique(h1[length == m]) for m in own}, ties)
         support = support.persist(KEEP)
         per = {r["length"]: r for r in C.stage_stats(support).collect()}
-        stages += [(m, per[m]["observed"], per[m]["eligible"], per[m]["maximum_support"]) for m in own if m in per]
         seen += sum(r["eligible"] for r in per.values())
         _check(seen, cap)
+        if max_cells is not None and not budget and seen * n_series > max_cells:
+            raise ValueError(f"{n_series} x {seen} feature cells are more than {max_cells}")
         able = C.eligible(support)
         if budget:
             top = sorted([*top, *(tuple(r) for r in S.best(able, budget).select("code", "length", "support", "qualifying").collect())], key=lambda t: (-t[2], t[1], list(map(int, t[0].split(",")))))[:budget]
         else:
             here = cut(able)
             found = here if found is None else found.unionByName(here)
+        cutoff = top[-1][2] if budget and len(top) >= budget else None
+        stages += [(m, per[m]["observed"], per[m]["eligible"], per[m]["maximum_support"], cutoff) for m in own if m in per]
         last, more = per.get(own[-1]), own[-1] != todo[-1]
         if not last or not last["eligible"]:
             reason = "no pattern of the last length qualifies"
@@ -141,7 +145,7 @@ def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[
         names = spark.createDataFrame(rows, "rank int, code string, length int, support double, qualifying_series long")
     else:
         names = S.ranked_wide(found).select("rank", "code", "length", "support", F.col("qualifying").alias("qualifying_series"))
-    return Mined(names, spark.createDataFrame(stages, "length int, observed long, eligible long, maximum_support double"), reason, ties, given)
+    return Mined(names, spark.createDataFrame(stages, "length int, observed long, eligible long, maximum_support double, cutoff double"), reason, ties, given)
 
 
 def _check(patterns: int, cap: int) -> None:
