@@ -186,3 +186,22 @@ def test_tree_of_code(x):
 
 def test_invalid_codes_have_no_tree():
     assert kernels.decode_tree([0, 2]) is None and kernels.decode_tree([0, -1]) is None and kernels.decode_tree([0, 0, 2]) is None
+
+
+@pytest.mark.parametrize("segment", [4, 9, 1000])
+@pytest.mark.parametrize("ties", ["strict", "native"])
+def test_occurrences_and_gaps(spark, segment, ties):
+    s = src.gather(as_rows(spark, MIX), 3, segment)
+    starts = {}
+    for sid, x in MIX.items():
+        for p in range(len(x) - 2):
+            w = [v + 0.0 for v in x[p : p + 3]]
+            if ties == "native" or len(set(w)) == 3:
+                starts.setdefault((sid, ",".join(map(str, brute_code(w)))), []).append(p)
+    codes_ = sorted({c for _, c in starts})[:3]
+    got_ = {(r["series_id"], r["code"]): (r["cnt"], r["st"]) for r in counts.occurrences(s, codes_, ties).collect()}
+    assert got_ == {k: (len(v), v[0]) for k, v in starts.items() if k[1] in codes_}
+    gaps = {(r["series_id"], r["code"]): (r["gaps"], r["gap_sum"], r["gap_squares"]) for r in counts.gaps(s, 3, ties).collect()}
+    want = {k: [b - a for a, b in zip(v, v[1:])] for k, v in starts.items() if len(v) > 1}
+    assert gaps == {k: (len(g), sum(g), sum(x * x for x in g)) for k, g in want.items()}
+    assert counts.occurrences(s, [], ties).count() == 0 and counts.gaps(s.limit(0), 3, ties).count() == 0

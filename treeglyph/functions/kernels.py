@@ -230,9 +230,9 @@ class GrowSpec:
     texts: bool = False
 
 
-def grow_batch(spec: GrowSpec, *batch: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str | None]]]:
-    """Counts of the windows that go on growing; arguments as those of Windows. Yields (length, series index, whether that series is whole, two hashes of the code, count, text of the
-    code where it is the first of its kind here). Other codes than those in ``among`` may slip in by an equal first hash; the pair of hashes tells them apart."""
+def grow_batch(spec: GrowSpec, *batch: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str | None]]]:
+    """Counts of the windows that go on growing; arguments as those of Windows. Yields (length, series index, whether that series is whole, two hashes of the code, count, first start,
+    text of the code where it is the first of its kind here). Other codes than those in ``among`` may slip in by an equal first hash; the pair of hashes tells them apart."""
     w, among = Windows(spec.ties, *batch), dict(spec.among)
     a = b = np.zeros(len(w.start), np.uint64)
     for m in range(2, max(spec.lengths) + 1):
@@ -259,7 +259,7 @@ def grow_batch(spec: GrowSpec, *batch: np.ndarray) -> Iterator[tuple[int, np.nda
             _, one = np.unique(a[index], return_index=True)
             for i, t in zip(one.tolist(), w.texts(w.start[index[one]], m), strict=True):
                 texts[i] = t
-        yield m, s[index], w.whole[s[index]], a[index], b[index], cnt[good], texts
+        yield m, s[index], w.whole[s[index]], a[index], b[index], cnt[good], w.pos[w.start[index]] + w.shift[s[index]], texts
         if spec.minsup and not good.all():
             mask = np.zeros(len(order), bool)
             mask[order] = np.repeat(good, cnt)
@@ -298,16 +298,47 @@ def window_counts(series: DataFrame, spec: CountSpec) -> DataFrame:
 
 
 def grown_counts(series: DataFrame, spec: GrowSpec) -> DataFrame:
-    """series_id, length, h1, h2, cnt double, whole (cnt is that of the whole series) and code (null but for one row of a code and slice): no shuffle."""
+    """series_id, length, h1, h2, cnt double, whole (cnt is that of the whole series), st (the first start) and code (null but for one row of a code and slice): no shuffle."""
     kind = series.schema["series_id"].dataType.simpleString()
-    names = ["series_id", "length", "h1", "h2", "cnt", "whole", "code"]
+    names = ["series_id", "length", "h1", "h2", "cnt", "whole", "st", "code"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, batch in _slices(batches):
-            for m, s, whole, a, b, cnt, texts in grow_batch(spec, *batch):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(s)), pa.array(np.full(len(s), m, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(cnt.astype(np.float64)), pa.array(whole), pa.array(texts, pa.string())], names=names)
+            for m, s, whole, a, b, cnt, st, texts in grow_batch(spec, *batch):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(s)), pa.array(np.full(len(s), m, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(cnt.astype(np.float64)), pa.array(whole), pa.array(st, pa.int64()), pa.array(texts, pa.string())], names=names)
 
-    return series.select("series_id", "x", "shift", "n", "own").mapInArrow(run, f"series_id {kind}, length int, h1 long, h2 long, cnt double, whole boolean, code string")
+    return series.select("series_id", "x", "shift", "n", "own").mapInArrow(run, f"series_id {kind}, length int, h1 long, h2 long, cnt double, whole boolean, st long, code string")
+
+
+def gap_batch(length: int, ties: str, *batch: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each series and code of one length: series index, code, number of windows, first and last start, and the sum of squares of the distances between one start and the next."""
+    w = Windows(ties, *batch)
+    number = np.zeros(len(w.start), np.int64)
+    for m in range(2, length + 1):
+        step, number = w.grow(m, number)
+        _, first, number = np.unique(number * m + step, return_index=True, return_inverse=True)
+    s, at = w.series[w.start], w.pos[w.start] + w.shift[w.series[w.start]]
+    order = np.lexsort((at, number, s))
+    new = np.flatnonzero(np.r_[True, (s[order[1:]] != s[order[:-1]]) | (number[order[1:]] != number[order[:-1]])][: len(order)])
+    ends = np.r_[new[1:], len(order)] - 1 if len(new) else new
+    gap = np.diff(at[order], prepend=0)
+    gap[new] = 0
+    texts = w.texts(w.start[first], length) if len(order) else []
+    squares = np.add.reduceat(gap * gap, new) if len(new) else gap
+    return s[order[new]], [texts[i] for i in number[order[new]].tolist()], ends - new + 1, at[order[new]], at[order[ends]], squares
+
+
+def gap_parts(series: DataFrame, length: int, ties: str = "strict") -> DataFrame:
+    """series_id, code, n, first, last, squares of each series or segment: no shuffle."""
+    kind = series.schema["series_id"].dataType.simpleString()
+    names = ["series_id", "code", "n", "first", "last", "squares"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, batch in _slices(batches):
+            s, texts, *rest = gap_batch(length, ties, *batch)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(s)), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in rest)], names=names)
+
+    return series.select("series_id", "x", "shift", "n", "own").mapInArrow(run, f"series_id {kind}, code string, n long, first long, last long, squares long")
 
 
 @F.pandas_udf(INTS)

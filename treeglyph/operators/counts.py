@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import code_array, code_text, parent_distance, scratch_code, window_code
-from ..functions.kernels import CountSpec, GrowSpec, code_ids, grown_counts, prefix_hashes, window_counts
+from ..functions.kernels import CountSpec, GrowSpec, code_ids, gap_parts, grown_counts, prefix_hashes, window_counts
 
 SHORTEST, LONGEST = 2, 1_000_000
 #: Patterns that may qualify, or be looked up, at a time; more are an error. What goes along to tasks, 16 bytes a pattern, is bounded by this.
@@ -51,13 +51,18 @@ def codes_of(wanted: DataFrame, lengths: Iterable[int] | None = None, cap: int =
     return [r["code"] for r in rows]
 
 
-def lookup(series: DataFrame, codes: list[str], ties: str = "strict") -> DataFrame:
-    """series_id, length, code, cnt of given codes. Windows only grow while they begin one of them."""
+def occurrences(series: DataFrame, codes: list[str], ties: str = "strict") -> DataFrame:
+    """series_id, length, code, cnt and st (the first start) of given codes. Windows only grow while they begin one of them."""
     names = series.sparkSession.createDataFrame(code_ids(codes), "code string, length int, h1 long, h2 long")
     lengths = tuple(sorted({c.count(",") + 1 for c in codes})) or (SHORTEST,)
     among = prefix_hashes(codes) if codes else {SHORTEST: np.empty(0, np.uint64)}
     each = grown_counts(series, GrowSpec(lengths, ties, tuple(among.items()))).drop("code")
-    return each.join(names, ["length", "h1", "h2"]).groupBy("series_id", "length", "code").agg(F.sum("cnt").alias("cnt"))
+    return each.join(names, ["length", "h1", "h2"]).groupBy("series_id", "length", "code").agg(F.sum("cnt").alias("cnt"), F.min("st").alias("st"))
+
+
+def lookup(series: DataFrame, codes: list[str], ties: str = "strict") -> DataFrame:
+    """series_id, length, code, cnt of given codes."""
+    return occurrences(series, codes, ties).drop("st")
 
 
 def qualifying(series: DataFrame, lengths: Iterable[int], minsup: float, ties: str = "strict", among: Mapping[int, np.ndarray] | None = None) -> DataFrame:
@@ -187,10 +192,18 @@ def decayed_by_mass(series: DataFrame, lengths: Iterable[int], decay: float) ->
     return mass.select("series_id", "length", "code", (F.col("mass") * F.exp(F.lit(float(decay)) * (F.col("length") - 1) / F.col("n"))).alias("cnt"))
 
 
-def gaps(windows: DataFrame) -> DataFrame:
-    """series_id, code, gaps, gap_sum, gap_squares, cv of the distances between a code's occurrences in a series."""
-    gap = F.col("st") - F.lag("st").over(Window.partitionBy("series_id", "code").orderBy("st"))
-    sums = windows.withColumn("gap", gap).where("gap is not null").groupBy("series_id", "code").agg(F.count("*").alias("gaps"), F.sum("gap").cast("long").alias("gap_sum"), F.sum(F.col("gap") * F.col("gap")).cast("long").alias("gap_squares"))
+def gaps(series: DataFrame, length: int, ties: str = "strict") -> DataFrame:
+    """series_id, code, gaps, gap_sum, gap_squares, cv of the distances between a code's occurrences in a series. Series, or segments of them, give first and last start and a sum;
+    the distances from a segment to the next are added where these meet."""
+    part = F.struct("first", "last", "n", "squares")
+    parts = gap_parts(series, length, ties).groupBy("series_id", "code").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    n = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"]) - 1
+    inside = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["squares"])
+    size = F.size("p")
+    between = F.zip_with(F.slice("p", F.lit(2), F.greatest(size - 1, F.lit(0))), F.slice("p", F.lit(1), F.greatest(size - 1, F.lit(0))), lambda x, y: x["first"] - y["last"])
+    squares = inside + F.aggregate(between, F.lit(0).cast("long"), lambda a, g: a + g * g)
+    total = F.element_at("p", -1)["last"] - F.element_at("p", 1)["first"]
+    sums = parts.select("series_id", "code", n.alias("gaps"), total.alias("gap_sum"), squares.alias("gap_squares")).where("gaps > 0")
     return sums.withColumn("cv", variation(F.col("gaps"), F.col("gap_sum"), F.col("gap_squares")))
 
 

@@ -99,12 +99,15 @@ def catalogue(dictionaries: DataFrame) -> DataFrame:
     return dictionaries.groupBy("code").agg(F.min("budget").alias("first_budget"), F.array_join(F.array_sort(F.collect_set("budget")), ",").alias("budgets"))
 
 
-def examples(windows: DataFrame, dictionary: DataFrame, per_code: int) -> DataFrame:
-    """The first window of each code in the series that have it most often: series by count, then id."""
-    held = windows.join(dictionary.select("code", "rank"), "code")
-    first = held.groupBy("rank", "code", "series_id").agg(F.count("*").alias("cnt"), F.min_by(F.struct("st", "win"), "st").alias("w"))
+def examples(series: DataFrame, first: DataFrame, dictionary: DataFrame, per_code: int) -> DataFrame:
+    """The first window of each code in the series that have it most often: series by count, then id. ``first``: series_id, code, cnt and st, as counts.occurrences gives them."""
+    held = first.join(dictionary.select("code", "rank"), "code")
     place = F.row_number().over(Window.partitionBy("rank").orderBy(F.desc("cnt"), "series_id"))
-    return first.withColumn("place", place).where(F.col("place") <= per_code).select("rank", "code", "place", "series_id", "cnt", "w.st", "w.win")
+    chosen = held.withColumn("place", place).where(F.col("place") <= per_code)
+    here = (F.col("st") >= F.col("shift")) & (F.col("st") < F.col("shift") + F.col("own"))
+    win = F.slice("x", (F.col("st") - F.col("shift") + 1).cast("int"), F.col("length"))
+    joined = series.select("series_id", "x", "shift", "own").join(chosen, "series_id").where(here)
+    return joined.select("rank", "code", "place", "series_id", F.col("cnt").cast("long").alias("cnt"), F.col("st").cast("int").alias("st"), win.alias("win"))
 
 
 def parity(a: DataFrame, b: DataFrame) -> DataFrame:

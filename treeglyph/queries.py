@@ -352,7 +352,7 @@ _EXAMPLES = Q.best("events", [3, 4], 8) + """, h as (select t.rank, c.sid, count
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = _events(spark, sf_dir)
     names = _dictionary(mining.mine(series, 8, lengths=[3, 4]))
-    return features.examples(counts.windows_of(series, [3, 4]), names, 3)
+    return features.examples(series, counts.occurrences(series, counts.codes_of(names)), names, 3)
 
 
 @query(_EXAMPLES + " select rank::int as rank, place::int as place, sid as series_id, cnt::bigint as cnt, st::int as st from p where place <= 3")
@@ -378,7 +378,7 @@ def ordinal_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     select sid as series_id, code, k::bigint as gaps, a::bigint as gap_sum, b::bigint as gap_squares, round(sqrt(greatest(0, b / k - (a / k) ** 2)) / (a / k), 6) as cv from q"""
 )
 def occurrence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.gaps(counts.windows_of(_events(spark, sf_dir), [3])).withColumn("cv", F.round("cv", 6))
+    return counts.gaps(_events(spark, sf_dir), 3).withColumn("cv", F.round("cv", 6))
 
 
 # --- evaluation -------------------------------------------------------------------------------------------------------
