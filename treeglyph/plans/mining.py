@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import linear_limits, parent_distance_linear, prefix_hashes
@@ -117,7 +117,7 @@ def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[
             raise ValueError(f"{n_series} x {seen} feature cells are more than {max_cells}")
         able = C.eligible(support)
         if budget:
-            top = sorted([*top, *(tuple(r) for r in S.best(able, budget).select("code", "length", "support", "qualifying").collect())], key=lambda t: (-t[2], t[1], list(map(int, t[0].split(",")))))[:budget]
+            top = _merged(top, able, budget)
         else:
             here = cut(able)
             found = here if found is None else found.unionByName(here)
@@ -140,12 +140,21 @@ def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[
     _drop(held)
     if not todo:
         raise ValueError("no length fits any series")
-    if budget:
-        rows = [(i, code, length, support, qualifying) for i, (code, length, support, qualifying) in enumerate(top, 1)]
-        names = spark.createDataFrame(rows, "rank int, code string, length int, support double, qualifying_series long")
-    else:
-        names = S.ranked_wide(found).select("rank", "code", "length", "support", F.col("qualifying").alias("qualifying_series"))
-    return Mined(names, spark.createDataFrame(stages, "length int, observed long, eligible long, maximum_support double, cutoff double"), reason, ties, given)
+    return Mined(_dictionary(spark, top) if budget else _all(found), spark.createDataFrame(stages, "length int, observed long, eligible long, maximum_support double, cutoff double"), reason, ties, given)
+
+
+def _merged(top: list[tuple], able: DataFrame, budget: int) -> list[tuple]:
+    """The best of those so far and of a round's patterns: code, length, support, qualifying."""
+    new = S.best(able, budget).select("code", "length", "support", "qualifying").collect()
+    return sorted([*top, *map(tuple, new)], key=lambda t: (-t[2], t[1], list(map(int, t[0].split(",")))))[:budget]
+
+
+def _dictionary(spark: SparkSession, top: list[tuple]) -> DataFrame:
+    return spark.createDataFrame([(i, *t) for i, t in enumerate(top, 1)], "rank int, code string, length int, support double, qualifying_series long")
+
+
+def _all(able: DataFrame) -> DataFrame:
+    return S.ranked_wide(able).select("rank", "code", "length", "support", F.col("qualifying").alias("qualifying_series"))
 
 
 def _check(patterns: int, cap: int) -> None:
@@ -175,7 +184,7 @@ def mine_levelwise(rows: DataFrame, budget: int, minsup: float = 2.0, longest: i
     step = ends.select("series_id", (F.col("shift") + F.col("at")).alias("end"), "pd")
     names = spark.createDataFrame([(1, "0")], "id int, code string")
     chosen = stages = None
-    reason, seen = "all lengths", 0
+    reason, seen, top = "all lengths", 0, []
     for m in range(2, limit + 1):
         live = windows.where(F.col("lim") >= m).withColumn("end", F.col("st") + m - 1).join(step, ["series_id", "end"])
         live = live.select("series_id", "st", "lim", "id", F.when(F.col("pd") < m, F.col("pd")).otherwise(0).alias("next"))
@@ -183,26 +192,23 @@ def mine_levelwise(rows: DataFrame, budget: int, minsup: float = 2.0, longest: i
         support = counts.groupBy("id", "next").agg(F.sum("cnt").alias("support"), F.count_if(F.col("cnt") >= minsup).alias("qualifying"))
         support = cut(support.join(names, "id").select("id", "next", "support", "qualifying", F.concat_ws(",", "code", F.col("next").cast("string")).alias("code"), F.lit(m).alias("length")))
         able = C.eligible(support)
-        here = able.select("length", "code", "support", "qualifying")
-        chosen = here if chosen is None else chosen.unionByName(here)
         stage = C.stage_stats(support)
         stages = stage if stages is None else stages.unionByName(stage)
-        top = support.agg(F.max("support"), F.count_if(F.col("qualifying") > 0), F.count("*")).first()
-        seen += top[1]
-        _check(max(seen, top[2] if exact_stages else 0), cap)
-        if not top[1]:
+        most, qualify, observed = support.agg(F.max("support"), F.count_if(F.col("qualifying") > 0), F.count("*")).first()
+        seen += qualify
+        _check(max(seen, observed if exact_stages else 0), cap)
+        if budget:
+            top = _merged(top, able, budget)
+        else:
+            here = able.select("length", "code", "support", "qualifying")
+            chosen = here if chosen is None else chosen.unionByName(here)
+        if not qualify:
             reason = "no pattern of the last length qualifies"
             break
-        if budget:
-            chosen = cut(S.best(chosen, budget))
-            have = chosen.agg(F.count("*"), F.min("support")).first()
-            if have[0] >= budget and top[0] < have[1] * SLACK:
-                reason = "no longer pattern can enter"
-                break
+        if budget and len(top) >= budget and most < top[-1][2] * SLACK:
+            reason = "no longer pattern can enter"
+            break
         on = (support if exact_stages else able).withColumn("new", F.row_number().over(Window.orderBy("id", "next")))
-        names = cut(on.select(F.col("new").alias("id"), "code", F.col("id").alias("prefix"), "next"))
-        numbers = names.select(F.col("prefix").alias("id"), "next", F.col("id").alias("new"))
-        windows = cut(live.join(numbers, ["id", "next"]).select("series_id", "st", "lim", F.col("new").alias("id")))
-        names = names.select("id", "code")
-    out = (S.ranked if budget else S.ranked_wide)(chosen).select("rank", "code", "length", "support", F.col("qualifying").alias("qualifying_series"))
-    return Mined(out, stages, reason, "strict", series)
+        windows = cut(live.join(on.select("id", "next", "new"), ["id", "next"]).select("series_id", "st", "lim", F.col("new").alias("id")))
+        names = on.select(F.col("new").alias("id"), "code")
+    return Mined(_dictionary(spark, top) if budget else _all(chosen), stages, reason, "strict", series)
