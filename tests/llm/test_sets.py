@@ -131,6 +131,22 @@ def test_pieces_and_places(spark):
     assert packing.pack(docs_of(spark, []).limit(0), WORDS).count() == 0
 
 
+def test_ids_of_odd_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t, w = Tokenizer.from_file(WORDS), packing.WordIds(WORDS, special_ids=True, most=300)
+    r = random.Random(1)
+    bits = ["a", "B", "É", "ß", "ÿ", "x1", "12", "don't", "!", "...", "#", "<|", "|>", "<|endoftext|>", "İ", "Σ", "ς", "中", "\u212a", "'s", "\x1c", "\x85", "\u3000", "é", "THE", "\t", "\n", " ", "  ", "\r", "\x0b", "÷", "×"]
+    for many in (3, 1 << 20):
+        for _ in range(60):
+            texts = ["".join(r.choices(bits, k=r.randint(0, 25))) for _ in range(40)] + [None, ""]
+            ends, ids = w.encode(pa.array(texts, pa.string()).slice(1), many)
+            assert [ids[a:z].tolist() for a, z in zip(ends[:-1], ends[1:], strict=True)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts[1:]]
+    ends, ids = w.encode(pa.array([], pa.string()))
+    assert ends.tolist() == [0] and len(ids) == 0
+
+
 def test_packing_query_takes_the_ids_of_special_tokens(spark, tmp_path):
     from tokenizers import Tokenizer
 

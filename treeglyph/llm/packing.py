@@ -20,32 +20,49 @@ import functools
 import heapq
 import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shared_table, sized_like, utf8_values
+from .common import map_arrow, shared_table, sized_like
 
 CAPACITY, END_ID = 2048, 1
 
 
-#: A word that the tokenizer splits into its letters and its marks, and nothing else. Lower-casing it is the same in all libraries.
-_MARKS = b".,!?;:#*$%&|<>"
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:#*$%&|<>]*)")
+#: A word as letters, marks and the rest. One without a rest is split by the tokenizer into its letters and its marks and nothing else, and lower-casing these letters is
+#: the same in all libraries.
+_SPLIT = "(?s)^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)(?P<marks>[.,!?;:#*$%&|<>]*)(?P<rest>.*)$"
+
+
+class Pool:
+    """Sequences of ids one after the other, and how long each is."""
+
+    def __init__(self, ids: np.ndarray, size: np.ndarray):
+        self.ids, self.size, self.start = ids, size, np.cumsum(size) - size
+
+    @classmethod
+    def of(cls, sequences: list[bytes]) -> Pool:
+        return cls(np.frombuffer(b"".join(sequences), "<u4"), np.fromiter(map(len, sequences), np.int64, len(sequences)) // 4)
+
+    def gather(self, which: np.ndarray) -> np.ndarray:
+        """The ids of these sequences."""
+        n = self.size[which]
+        before = np.cumsum(n) - n
+        return self.ids[np.arange(int(n.sum())) + np.repeat(self.start[which] - before, n)]
 
 
 class WordIds:
     """Ids of texts by a tokenizer that drops white space, lower-cases, and marks the ends of its pieces.
 
-    Each word's ids, as little-endian bytes, are kept for when it comes again. New words of letters and marks are put together from
-    those of the two parts; new parts are encoded many at a time and told apart by their end marks. Other words are encoded by themselves.
+    The distinct words of a batch are put together from the ids of their letters and marks, each of which is kept (little-endian bytes) for when it comes again; new ones are
+    encoded many at a time and told apart by their end marks. Other words are encoded by themselves. A text's ids are then gathered from those of the words.
     Special tokens that a text spells out are text like other, or with ``special_ids`` get their own ids, which is the tokenizer library's default.
     """
 
@@ -58,45 +75,46 @@ class WordIds:
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith(end_mark)]] = True
-        self._known: dict[bytes, bytes] = {}
-        self._parts: dict[bytes, bytes] = {b"": b""}
+        self._parts: dict[str, bytes] = {"": b""}
         self._most = most
 
-    def learn(self, texts: list[bytes]) -> list[list[bytes]]:
-        """The texts' words, all of which are known thereafter."""
-        split = [t.split() for t in texts]
-        if len(self._known) > self._most:
-            self._known.clear()
+    def encode(self, texts: pa.Array, many: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text's ids start (and the end), and all ids; nulls have none. Words are gathered so many at a time."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        ends = words.offsets.to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        which, known = coded.indices.to_numpy(), self._words(coded.dictionary)
+        total = np.r_[0, np.cumsum(known.size[which])]
+        parts = [known.gather(which[a : a + many]) for a in range(0, len(which), many)]
+        return total[ends - ends[0]], parts[0] if len(parts) == 1 else np.concatenate([*parts, np.empty(0, "<u4")])
+
+    def _words(self, words: pa.Array) -> Pool:
+        """The ids of distinct words."""
         if len(self._parts) > self._most:
-            self._parts = {b"": b""}
-        new = list(set(itertools.chain.from_iterable(split)).difference(self._known))
-        if not new:
-            return split
-        plain, other = [], []
-        for raw in new:
-            letters = raw.rstrip(_MARKS)
-            if letters.isalpha():  # ASCII
-                plain.append((raw, letters.lower(), raw[len(letters) :]))
-            elif m := _PLAIN.fullmatch(raw.decode()):
-                plain.append((raw, m[1].lower().encode(), m[2].encode()))
-            else:
-                other.append(raw)
-        self._learn_parts([p for p in {p for _, a, b in plain for p in (a, b)} if p not in self._parts])
-        parts = self._parts
-        self._known.update((raw, parts[a] + parts[b]) for raw, a, b in plain)
-        self._known.update((raw, np.array(ids, "<u4").tobytes()) for raw, ids in zip(other, self._encode([w.decode() for w in other]), strict=True))
-        return split
+            self._parts = {"": b""}
+        split = pc.extract_regex(words, _SPLIT)
+        letters, marks, rest = (split.field(i) for i in range(3))
+        odd = np.flatnonzero((pc.binary_length(rest).to_numpy() > 0) | (pc.binary_length(letters).to_numpy() == 0))
+        heads, tails = pc.utf8_lower(letters).dictionary_encode(), marks.dictionary_encode()
+        names = [x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (heads, tails)]
+        self._learn([x for x in {*names[0], *names[1]} if x not in self._parts])
+        other = [np.array(ids, "<u4").tobytes() for ids in self._encode(words.take(pa.array(odd)).to_pylist())]
+        parts = Pool.of([*map(self._parts.__getitem__, names[0]), *map(self._parts.__getitem__, names[1]), b"", *other])
+        first, second = heads.indices.to_numpy().astype(np.int64), tails.indices.to_numpy() + len(names[0])
+        nothing = len(names[0]) + len(names[1])
+        first[odd], second[odd] = nothing + 1 + np.arange(len(odd)), nothing
+        return Pool(parts.gather(np.stack([first, second], axis=1).ravel()), parts.size[first] + parts.size[second])
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_parts(self, parts: list[bytes], many: int = 500) -> None:
+    def _learn(self, parts: list[str], many: int = 500) -> None:
         groups = [parts[i : i + many] for i in range(0, len(parts), many)]
-        for group, ids in zip(groups, self._encode([b" ".join(g).decode() for g in groups]), strict=True):
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
             x = np.array(ids, "<u4")
             ends = (np.flatnonzero(self._ends[x]) + 1) * 4
             if len(ends) != len(group):  # a vocabulary without such marks
-                self._parts.update((p, np.array(i, "<u4").tobytes()) for p, i in zip(group, self._encode([p.decode() for p in group]), strict=True))
+                self._parts.update((p, np.array(i, "<u4").tobytes()) for p, i in zip(group, self._encode(group), strict=True))
                 continue
             raw, at = x.tobytes(), 0
             for p, end in zip(group, ends.tolist(), strict=True):
@@ -104,11 +122,7 @@ class WordIds:
                 at = end
 
     def forget(self) -> None:
-        self._known.clear()
-        self._parts = {b"": b""}
-
-    def encode(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self._known.__getitem__, words))
+        self._parts = {"": b""}
 
 
 @functools.cache
@@ -129,11 +143,12 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, e
         names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
         try:
             for b in batches:
-                ids, texts = b.column(0).to_pylist(), utf8_values(b.column(1))
-                for at in range(0, len(texts), 512):
+                for at in range(0, len(b), 2048):
+                    part = b.slice(at, 2048)
+                    ends, ids = ids_of.encode(part.column(1))
                     rows, raw = [], []
-                    for doc, words in zip(ids[at : at + 512], ids_of.learn([t or b"" for t in texts[at : at + 512]]), strict=True):
-                        whole = ids_of.encode(words) + end
+                    for doc, a, z in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                        whole = ids[a:z].tobytes() + end
                         total = len(whole) // 4
                         for start in range(0, total, capacity):
                             piece = whole[4 * start : 4 * (start + capacity)]
