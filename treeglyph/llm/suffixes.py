@@ -213,18 +213,40 @@ def _with_places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(lists.hint("merge"), docs["doc_id"] == lists["doc"]).select("doc", "text", "places")
 
 
-def _hulls(held: DataFrame) -> DataFrame:
+_FOUND = "kind int, a long, b long, doc long, start long, size long, hull binary"
+
+
+def _found(held: DataFrame) -> DataFrame:
+    """What is to be sorted, read from the texts in one pass. kind 1: a place with its hull (a: key); kind 2: a window of a wide bucket (a, b: its hash)."""
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+
+    def rows(kind: int, *columns: list | np.ndarray, hulls: list | None = None) -> pa.RecordBatch:
+        arrays = [pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(c, pa.int64()) for c in columns)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(hulls, pa.binary()) if hulls is not None else pa.nulls(len(columns[0]), pa.binary())], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[str, list] = {n: [] for n in ("key", "doc", "start", "size", "hull")}
-            for doc, text, ps in zip(b.column(0).to_pylist(), utf8_values(b.column(1)), b.column(2).to_pylist(), strict=True):
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            narrow: list[tuple[int, int, int, int]] = []
+            hulls: list[bytes] = []
+            for doc, text, ps in zip(batch.column(0).to_pylist(), utf8_values(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                starts: list[int] = []
                 for p in ps:
+                    end = p["start"] + (p["size"] >> 8)
                     if p["kind"] == 1:
-                        for n, v in zip(out, (p["key"], doc, p["start"], p["size"], text[p["start"] : p["start"] + (p["size"] >> 8) + WIDTH - 1]), strict=True):
-                            out[n].append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(out[n], pa.int64()) for n in ("key", "doc", "start", "size")), pa.array(out["hull"], pa.binary())], names=list(out))
+                        narrow.append((p["key"], doc, p["start"], p["size"]))
+                        hulls.append(text[p["start"] : end + WIDTH - 1])
+                    else:
+                        starts += range(p["start"], end)
+                if starts:
+                    h = np.frombuffer(b"".join(xxh3_128_digest(text[s : s + WIDTH]) for s in starts), "<i8").reshape(-1, 2)
+                    yield rows(2, h[:, 0], h[:, 1], np.full(len(h), doc), np.array(starts), np.full(len(h), WIDTH))
+            if narrow:
+                key, docs, start, size = np.array(narrow, np.int64).T
+                yield rows(1, key, np.zeros(len(key), np.int64), docs, start, size, hulls=hulls)
 
-    return map_arrow(held, run, "key long, doc long, start long, size long, hull binary")
+    return map_arrow(held, run, _FOUND)
 
 
 def _runs(matrix: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,58 +293,46 @@ def sort_bucket(key: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.nd
     return doc[row], start[row] + rel[row] - REST + a, z - a + WIDTH - 1
 
 
-def sort_buckets(hulls: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc, start, size of what repeats; a block is made of whole buckets."""
+def sort_found(found: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc, start, size of what repeats. Places are sorted by blocks of whole buckets; windows of wide buckets, which come after them, are a stream: all but the first of equal ones
+    repeat it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        last: tuple | None = None
 
-        def done(t: pa.Table) -> pa.RecordBatch:
-            cols = [t.column(i).to_numpy() for i in range(4)]
-            out = sort_bucket(*cols, t.column(4).to_pylist()) if len(t) else (np.empty(0, np.int64),) * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc", "start", "size"])
+        def spans(*columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "start", "size"])
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            while len(held) > block:
-                key = held.column(0).to_numpy()
-                ends = np.flatnonzero(key[1:] != key[:-1]) + 1
-                if not len(ends):
-                    break
-                cut = int(ends[max(0, np.searchsorted(ends, block, "right") - 1)])
-                yield done(held.slice(0, cut))
-                held = held.slice(cut)
+        def done(t: pa.Table) -> pa.RecordBatch:
+            cols = [t.column(n).to_numpy() for n in ("a", "doc", "start", "size")]
+            return spans(*(sort_bucket(*cols, t.column("hull").to_pylist()) if len(t) else (np.empty(0, np.int64),) * 3))
+
+        for batch in batches:
+            places = int((batch.column(0).to_numpy() == 1).sum())
+            if places:
+                t = pa.Table.from_batches([batch.slice(0, places)])
+                held = t if held is None else pa.concat_tables([held, t])
+                while len(held) > block:
+                    key = held.column("a").to_numpy()
+                    ends = np.flatnonzero(key[1:] != key[:-1]) + 1
+                    if not len(ends):
+                        break
+                    cut = int(ends[max(0, np.searchsorted(ends, block, "right") - 1)])
+                    yield done(held.slice(0, cut))
+                    held = held.slice(cut)
+            if places < len(batch):
+                if held is not None:
+                    yield done(held)
+                    held = None
+                w1, w2, doc, start = (batch.column(i).to_numpy()[places:] for i in (1, 2, 3, 4))
+                again = np.r_[last == (w1[0], w2[0]), (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])]
+                last = (w1[-1], w2[-1])
+                yield spans(*_merged(doc[again], start[again], np.full(int(again.sum()), WIDTH)))
         if held is not None:
             yield done(held)
 
-    return map_arrow(hulls.repartition("key").sortWithinPartitions("key", "doc", "start"), run, "doc long, start long, size long")
-
-
-def sort_wide(held: DataFrame) -> DataFrame:
-    """The same for wide buckets: each window's hash, sorted; all but the first of equal ones repeat it."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-
-        for b in batches:
-            for doc, text, ps in zip(b.column(0).to_pylist(), utf8_values(b.column(1)), b.column(2).to_pylist(), strict=True):
-                starts = [s for p in ps if p["kind"] == 2 for s in range(p["start"], p["start"] + (p["size"] >> 8))]
-                h = np.frombuffer(b"".join(xxh3_128_digest(text[s : s + WIDTH]) for s in starts), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([doc] * len(starts), pa.int64()), pa.array(starts, pa.int64())], names=["w1", "w2", "doc", "start"])
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            if not len(b):
-                continue
-            w1, w2, doc, start = (c.to_numpy() for c in b.columns)
-            rep = np.r_[last == (w1[0], w2[0]), (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])]
-            last = (w1[-1], w2[-1])
-            d, s, n = _merged(doc[rep], start[rep], np.full(int(rep.sum()), WIDTH))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (d, s, n)], names=["doc", "start", "size"])
-
-    return map_arrow(map_arrow(held, windows, "w1 long, w2 long, doc long, start long").repartition("w1").sortWithinPartitions("w1", "w2", "doc", "start"), again, "doc long, start long, size long")
+    return map_arrow(found.repartition("a").sortWithinPartitions("kind", "a", "b", "doc", "start"), run, "doc long, start long, size long")
 
 
 def ordered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -343,11 +353,10 @@ def repeats(docs: DataFrame, wide: int = WIDE, block: int = BLOCK, doc: str = "d
     settled = shared_table(compact(settle(places(docs), wide), deal=True), "settled")
     free_shuffles(spark)
     spans = settled.where("kind = 0").select("doc", "start", "size")
-    kinds = {r["kind"] for r in settled.select("kind").distinct().collect()}  # three at most
-    for kind, then in ((1, lambda x: sort_buckets(_hulls(x), block)), (2, sort_wide)):
-        if kind in kinds:
-            spans = spans.unionByName(shared_table(compact(then(_with_places(docs, settled.where(F.col("kind") == kind))), deal=True), "spans"))
-            free_shuffles(spark)
+    wanted = settled.where("kind > 0")
+    if not wanted.isEmpty():
+        spans = spans.unionByName(shared_table(compact(sort_found(_found(_with_places(docs, wanted)), block), deal=True), "spans"))
+        free_shuffles(spark)
     packed = (F.col("start") * (1 << 32) + F.col("size")).alias("span")
     out = shared_table(compact(spans.select("doc", packed).groupBy("doc").agg(F.collect_list("span").alias("spans"))), "repeats")
     free_shuffles(spark)
