@@ -400,7 +400,7 @@ def cluster_metrics_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RESULTS = [("A", d, r, not (d == "Car" and r == 2), 0.1 * r + 0.01 * len(d)) for d in ("Beef", "Car", "Pig") for r in range(3)] + [("B", d, r, True, None if (d, r) == ("Beef", 1) else 0.2 * r) for d in ("Beef", "Car") for r in range(3)]
-_RUNS = [("x", 64, m, r, e, s * m, h) for m in (8, 16, 32) for r in range(2) for e, s, h in (("CT", 0.1, f"o{m if m < 32 else r}"), ("CT-Hash", 0.4, f"o{m if m < 32 else r}")) if not (m == 16 and r == 1 and e == "CT-Hash")]
+_RUNS = [("x", 64, m, r, e, s * m, h) for m in (8, 16, 32) for r in range(2) for e, s, h in (("by growth", 0.1, f"o{m if m < 32 else r}"), ("by hash", 0.4, f"o{m if m < 32 else r}")) if not (m == 16 and r == 1 and e == "by hash")]
 
 
 def _values(rows: list[tuple]) -> str:
@@ -420,14 +420,14 @@ def macro_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with r(source, n, length, rep, engine, seconds, output) as (values {_values(_RUNS)})
-    , p as (select a.source, a.n, a.length, a.rep, a.seconds as f, b.seconds as s, a.output as o, a.output = b.output as ok from r a left join r b on (a.source, a.n, a.length, a.rep) = (b.source, b.n, b.length, b.rep) and b.engine = 'CT-Hash' where a.engine = 'CT')
+    , p as (select a.source, a.n, a.length, a.rep, a.seconds as f, b.seconds as s, a.output as o, a.output = b.output as ok from r a left join r b on (a.source, a.n, a.length, a.rep) = (b.source, b.n, b.length, b.rep) and b.engine = 'by hash' where a.engine = 'by growth')
     , t as (select source, n, length, count(*) filter (where ok) as matched, count(distinct o) filter (where ok) as outs, avg(f) filter (where ok) as f, avg(s) filter (where ok) as s from p group by all)
     select source, n::int as n, length::int as length, matched::bigint as matched, case when outs > 1 then 'unstable' when matched = 2 then 'complete' else 'incomplete' end as status,
       case when outs <= 1 and matched = 2 then round(f, 6) end as fast_mean, case when outs <= 1 and matched = 2 then round(s, 6) end as slow_mean, case when outs <= 1 and matched = 2 then round(s / f, 6) end as speedup from t"""
 )
 def speedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.createDataFrame(_RUNS, "source string, n int, length int, repeat int, engine string, seconds double, output string")
-    m = metrics.speedups(df, 2, "CT-Hash", "CT")
+    m = metrics.speedups(df, 2, "by hash", "by growth")
     return m.select("source", "n", "length", "matched", "status", *(F.round(c, 6).alias(c) for c in ("fast_mean", "slow_mean", "speedup")))
 
 
