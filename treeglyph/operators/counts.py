@@ -65,23 +65,30 @@ def lookup(series: DataFrame, codes: list[str], ties: str = "strict") -> DataFra
     return occurrences(series, codes, ties).drop("st")
 
 
-def qualifying(series: DataFrame, lengths: Iterable[int], minsup: float, ties: str = "strict", among: Mapping[int, np.ndarray] | None = None) -> DataFrame:
+def qualifying(series: DataFrame, lengths: Iterable[int], minsup: float, ties: str = "strict", among: Mapping[int, np.ndarray] | None = None, segments: bool = True) -> DataFrame:
     """length, h1, h2 of the codes that some series has ``minsup`` times. A window of a whole series only grows while that series has so many of its code: one that
-    qualifies there has no beginning that doesn't. Segments of a series are summed up first."""
+    qualifies there has no beginning that doesn't. Where there are ``segments``, those of a series are summed up first."""
     each = grown_counts(series, GrowSpec(tuple(lengths), ties, tuple((among or {}).items()), minsup)).drop("code")
-    summed = each.where(~F.col("whole")).groupBy("series_id", "length", "h1", "h2").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= minsup)
-    names = ("length", "h1", "h2")
-    return each.where("whole").select(*names).unionByName(summed.select(*names)).distinct()
+    if segments:
+        each = each.groupBy("series_id", "length", "h1", "h2").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= minsup)
+    return each.select("length", "h1", "h2").distinct()
 
 
-def support_among(series: DataFrame, lengths: Iterable[int], minsup: float, among: Mapping[int, np.ndarray], ties: str = "strict") -> DataFrame:
+def support_among(series: DataFrame, lengths: Iterable[int], minsup: float, among: Mapping[int, np.ndarray], ties: str = "strict", segments: bool = True) -> DataFrame:
     """length, code, support and qualifying of the codes whose first hashes are among those of their length."""
-    each = grown_counts(series, GrowSpec(tuple(lengths), ties, tuple(among.items()), texts=True))
-    per = each.groupBy("series_id", "length", "h1", "h2").agg(F.sum("cnt").alias("cnt"), F.max("code").alias("code"))
+    per = grown_counts(series, GrowSpec(tuple(lengths), ties, tuple(among.items()), texts=True))
+    if segments:
+        per = per.groupBy("series_id", "length", "h1", "h2").agg(F.sum("cnt").alias("cnt"), F.max("code").alias("code"))
     total = per.groupBy("length", "h1", "h2").agg(F.max("code").alias("code"), F.sum("cnt").alias("support"), F.count_if(F.col("cnt") >= minsup).alias("qualifying"))
     return total.select("length", "code", "support", "qualifying")
 
 
+def support_of_all(series: DataFrame, lengths: Iterable[int], minsup: float, ties: str = "strict", segments: bool = True) -> DataFrame:
+    """length, code, support and qualifying of every code. A series that is in one row has its counts there."""
+    each = series_counts(series, lengths, ties) if segments else window_counts(series, CountSpec(lengths_of(lengths), ties))
+    return corpus_support(each, minsup)
+
+
 def corpus_support(counts: DataFrame, minsup: float = 2.0) -> DataFrame:
     """length, code, support (over all series) and qualifying (series with minsup or more)."""
     return counts.groupBy("length", "code").agg(F.sum("cnt").alias("support"), F.count_if(F.col("cnt") >= minsup).alias("qualifying"))

@@ -80,7 +80,7 @@ def wanted_lengths(series: DataFrame, budget: int, lengths: Iterable[int] | None
 
 
 def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[int] | None = None, cap: int = CAP, ties: str = "strict", keep: bool = True, stop_early: bool = True, max_cells: int | None = None) -> Mined:
-    """By rounds of lengths. ``series`` are whole, or segments, which are made anew for rounds whose lengths pass their overlap; with ``keep`` they stay in memory or on
+    """By rounds of lengths. ``series`` are whole, one row for each id, or segments, which are made anew for rounds whose lengths pass their overlap; with ``keep`` they stay in memory or on
     executors' disks while rounds go on, and are made anew where an executor is lost. More than ``cap`` patterns that qualify are an error, in any mode. With a
     budget the driver holds the best of the rounds so far: that many rows. Without ``stop_early`` all lengths at which anything qualifies are gone through,
     which changes the stages and not the dictionary. ``max_cells``: without a budget, more cells of patterns and series than that are an error while mining."""
@@ -103,12 +103,12 @@ def mine(series: DataFrame, budget: int, minsup: float = 2.0, lengths: Iterable[
             series = series.persist(KEEP) if keep else series
             held.append(series)
         if own[-1] <= 5:  # few patterns: counted at once
-            support = C.corpus_support(C.series_counts(series, own, ties), minsup)
+            support = C.support_of_all(series, own, minsup, ties, fits is not None)
         else:
-            ids = C.qualifying(series, own, minsup, ties, among).limit(cap - seen + 1).toArrow()
+            ids = C.qualifying(series, own, minsup, ties, among, fits is not None).limit(cap - seen + 1).toArrow()
             _check(seen + len(ids), cap)
             length, h1 = ids.column("length").to_numpy(), ids.column("h1").to_numpy().view(np.uint64)
-            support = C.support_among(series, own, minsup, among | {m: np.unique(h1[length == m]) for m in own}, ties)
+            support = C.support_among(series, own, minsup, among | {m: np.unique(h1[length == m]) for m in own}, ties, fits is not None)
         support = support.persist(KEEP)
         per = {r["length"]: r for r in C.stage_stats(support).collect()}
         seen += sum(r["eligible"] for r in per.values())
