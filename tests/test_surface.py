@@ -95,6 +95,39 @@ def test_clustering_queries_take_ten_restarts(spark, monkeypatch):
     assert queries.kmeans_clusters(spark, SF).count() > 0 and seeds == list(range(10))
 
 
+def test_kmeans_runs_beside_each_other(spark, monkeypatch):
+    """Several runs are under way at once, over few partitions, and the cheapest is what comes out."""
+    import random
+    import threading
+
+    from treeglyph.operators import cluster
+
+    real, together, parts, models = cluster.KMeans, threading.Barrier(2), [], []
+
+    class Run:
+        def __init__(self, **k):
+            self.run = real(**k)
+
+        def fit(self, v):
+            parts.append(v.rdd.getNumPartitions())
+            together.wait(60)
+            models.append(self.run.fit(v))
+            return models[-1]
+
+    r = random.Random(4)
+    points = [(i, [r.gauss(c, 1.0) for c in (i % 7, i % 5)]) for i in range(400)]
+    table = spark.createDataFrame(points, "series_id long, features array<double>").repartition(23)
+    monkeypatch.setattr(cluster, "KMeans", Run)
+    got = cluster.kmeans(table, 6).collect()
+    assert len(models) == 10 and parts == [1] * 10
+    assert sorted((x["series_id"], x["features"]) for x in got) == points
+    groups = [[x["features"] for x in got if x["cluster"] == c] for c in range(6)]
+    cost = sum((x - sum(col) / len(col)) ** 2 for g in groups for col in zip(*g) for x in col)
+    costs = [m.summary.trainingCost for m in models]
+    assert len(set(costs)) > 1 and cost <= min(costs) * (1 + 1e-3)
+    assert cluster.kmeans(table.withColumn("features", F.array(F.lit(1.0))), 2, restarts=10).count() == 400
+
+
 def test_ranks_of_many_patterns(spark):
     from tests.test_codes import brute_mine
 
