@@ -338,6 +338,31 @@ def test_cutoffs_hold_where_labels_tell(spark):
     assert set(few) == {"*", "en", "fr", "de", "es"} and few["en"] and not few["*"]
 
 
+def test_strata_of_any_number_of_languages(spark):
+    """Over 64 languages with enough labels of their own, and as many with few: each of the first is judged by its own labels, the others by those of all of them together."""
+    r, rules = random.Random(23), quality.Rules(risk=0.2, delta=0.5)
+    rows = []
+    for k in range(150):
+        for j in range(40 if k < 80 else 6):
+            words = ["".join(r.choices("abcdefgh", k=5)) + "$$$" * (k < 80 and k % 7 == 0) for _ in range(30)]
+            rows.append((len(rows), " ".join(words + ["#####"] * 20 * (j % 6 == 5)), f"l{k:03d}"))
+    good = {i for i, t, _ in rows if "##" not in t}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    want = brute_kept(rows, good, rules)
+    found = quality.strata(quality.with_counts(docs), labels, rules)
+    assert len(found) == 81 and len(found[-1].names) == 70 and sum(s.good for s in found) == len(good)
+    assert {(x["doc_id"], x["base_failed"], x["kept"]) for x in quality.quality_verdicts(docs, labels, rules).collect()} == set(want)
+    kept = {i for i, _, k in want if k}
+    assert {x["doc_id"] for x in quality.keep_quality(docs, labels, rules).collect()} == kept and good <= kept < {i for i, _, _ in rows}
+
+
+@pytest.mark.parametrize("risk, delta", [(0.02, 0.05), (0.2, 0.5), (0.9, 0.9), (0.0, 0.05), (1.0, 0.05)])
+def test_enough_labels(risk, delta):
+    n = quality.enough(quality.Rules(risk=risk, delta=delta))
+    assert n is None if risk == 0 else not quality.exceeds(0, n, risk, delta / 2) and quality.exceeds(0, n - 1, risk, delta / 2)
+
+
 # --- licences
 
 
